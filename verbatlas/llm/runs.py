@@ -8,6 +8,7 @@ that touch a block's edge take part in a second, much smaller pass that joins th
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,31 +16,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.barrier import where_computed
+
 #: Positions per block: large enough that few runs touch an edge, small enough to sort in memory.
 BLOCK = 4096
 
-# Letters and the plain letters they are compared as.
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõøōúùûüūñçýÿšžł"
-PLAIN = "aaaaaaaeeeeeiiiiioooooooouuuuuncyyszl"
-
-
-def _plain_table() -> tuple[str, str]:
-    """ACCENTED and its partner by Unicode decomposition, so that both always have one length."""
-    import unicodedata
+# Fixed value: letters that are compared without their accents.
+ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿšž"
 
-    keep = [c for c in ACCENTED if len(unicodedata.normalize("NFKD", c)) > 1]
-    return "".join(keep), "".join(unicodedata.normalize("NFKD", c)[0] for c in keep)
 
-
-def plain_words(text: Column) -> Column:
-    """Words in lower case without accents, mark-up, entities and punctuation, one blank apart."""
-    accented, plain = _plain_table()
-    t = F.lower(text)
-    t = F.when(F.contains(t, F.lit("&")), F.regexp_replace(F.regexp_replace(t, "&lt;[^&<>]{0,80}&gt;", " "), "&([a-z])(acute|grave|circ|uml|tilde|cedil|ring);", "$1")).otherwise(t)
-    t = F.when(F.contains(t, F.lit("&")), F.regexp_replace(F.replace(t, F.lit("&szlig;"), F.lit("ss")), "&(#x?[0-9a-f]+|[a-z]+[0-9]*);", " ")).otherwise(t)
-    t = F.when(F.contains(t, F.lit("<")), F.regexp_replace(t, "<[^<>]*>", " ")).otherwise(t)
-    t = F.replace(F.translate(t, accented, plain), F.lit("ß"), F.lit("ss"))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\p{M}+", ""), r"[^\p{L}\p{N}]+", " "))
+def with_plain_words(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds out: the words of text in lower case without accents, mark-up, entities and punctuation,
+    one blank apart. In steps, so that each is computed once a row."""
+    accented = ACCENTED + "".join(map(chr, range(0x300, 0x370)))  # combining marks have no partner and go
+    plain = "".join(unicodedata.normalize("NFKD", c)[0] for c in ACCENTED)
+    c = F.col(out)
+    df = df.withColumn(out, F.lower(F.col(text)))
+    accents = F.regexp_replace(F.replace(c, F.lit("&szlig;"), F.lit("ß")), "&([a-z])(?:acute|grave|circ|uml|tilde|cedil|ring);", "$1")
+    df = df.withColumn(out, F.when(F.contains(c, F.lit("&")), F.regexp_replace(accents, "&lt;[^&<>]{0,80}&gt;|&(?:#x?[0-9a-f]+|[a-z]+[0-9]*);", " ")).otherwise(c))
+    df = df.withColumn(out, F.regexp_replace(c, "<[^<>]*>", " "))
+    df = df.withColumn(out, F.when(F.octet_length(c) > F.char_length(c), F.replace(F.translate(c, accented, plain), F.lit("ß"), F.lit("ss"))).otherwise(c))
+    return df.withColumn(out, F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")))
 
 
 def in_order(a: list[str], b: list[str]) -> int:
@@ -65,70 +62,69 @@ def near_identical(a: str, b: str, share: float) -> bool:
     return in_order(x, y) >= share * max(len(x), len(y))
 
 
-def _linked(share: float, gap: int, words: Column, before: Column, sec: Column, sec_before: Column) -> Column:
-    """Whether an event continues the one before it. Equal texts are settled here and pairs that
-    share too few words are refused; only the rest is sent to the exact comparison."""
+def _possible(share: float, gap: int) -> Column:
+    """Whether an event (w, s) can continue the one before it (pw, ps): the words they share, counting
+    all repeats, bound the common subsequence."""
+    x, y = F.split("w", " "), F.split("pw", " ")
+    longer = F.greatest(F.size(x), F.size(y))
+    most = F.size(F.array_intersect(x, y)) + F.greatest(F.size(x) - F.size(F.array_distinct(x)), F.size(y) - F.size(F.array_distinct(y)))
+    return F.coalesce((F.col("s") - F.col("ps") <= gap) & ((F.col("w") == F.col("pw")) | (most >= longer * share)), F.lit(False))
+
+
+def _exactly(share: float, words: Column, before: Column) -> Column:
+    """near_identical where before isn't null, else false."""
 
     @F.pandas_udf("boolean")
-    def exact(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def judge(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in it:
-            out = pd.Series(False, index=a.index)
-            for k in a.index[a.notna() & b.notna()]:
-                out[k] = near_identical(a[k], b[k], share)
-            yield out
+            yield pd.Series([y is not None and near_identical(x, y, share) for x, y in zip(a, b)], dtype=bool)
 
-    near = before.isNotNull() & (sec - sec_before <= gap)
-    x, y = F.split(words, " "), F.split(before, " ")
-    longer = F.greatest(F.size(x), F.size(y))
-    # The words of the longer text that the other can hold at most: common different words, and all repeats.
-    most = F.size(F.array_intersect(x, y)) + F.greatest(F.size(x) - F.size(F.array_distinct(x)), F.size(y) - F.size(F.array_distinct(y)))
-    open_case = near & (words != before) & (most >= longer * share)
-    return F.when(near & (words == before), True).otherwise(exact(F.when(open_case, words), F.when(open_case, before)))
+    return judge(words, before)
 
 
 def collapse_runs(
-    events: DataFrame, key: str, position: str, second: Column, text: str, *, share: float = 0.75, gap: int = 15, block: int = BLOCK
+    events: DataFrame, key: str, position: str, second: Column, text: str, *, share: float = 0.75, gap: int = 15, block: int = BLOCK, with_text: bool = True
 ) -> DataFrame:
     """One row per run of two or more events: key, first and last position, n_events, start,
-    seconds (from the first start to the last) and the first event's text.
+    seconds (from the first start to the last) and, unless with_text is off, the first event's text.
 
     An event delivered twice (same key and position) counts once; of differing deliveries the one
     with the smallest (start, text) counts. Events without a word, a start, a key or a position are
     in no run and break none. Ties can't occur, for a position is unique after that. Other columns
     are ignored whatever their names, and an empty table gives an empty result.
     """
-    rows = (
-        events.select(F.col(key).alias("k"), F.col(position).alias("i"), second.cast("bigint").alias("s"), plain_words(F.col(text)).alias("w"), F.col(text).alias("t"))
-        .where("k is not null and i is not null and s is not null and w <> ''")
-        .withColumn("b", F.floor(F.col("i") / F.lit(block)))
-    )
-    at = W.partitionBy("k", "b").orderBy("i", "s", "w", "t")
+    kept = [F.col(text).alias("t")] if with_text else []
+    rows = events.select(F.col(key).alias("k"), F.col(position).alias("i"), second.cast("bigint").alias("s"), F.col(text).alias("raw"), *kept).where("k is not null and i is not null")
+    rows = where_computed(with_plain_words(rows, "raw", "w"), F.expr("s is not null and w <> ''")).drop("raw").withColumn("b", F.floor(F.col("i") / F.lit(block)))
+    at = W.partitionBy("k", "b").orderBy("i", "s", "w", *["t"] * with_text)
     prior = lambda c: F.lag(c).over(at)
     seq = rows.select("*", prior("i").alias("pi")).where("pi is null or pi <> i").drop("pi")
-    seq = seq.select("*", prior("w").alias("pw"), prior("s").alias("ps"), F.lead("i").over(at).isNull().alias("ends"), F.row_number().over(at).alias("rn"))
-    seq = seq.select("k", "b", "i", "s", "w", "t", "ends", (F.col("rn") == 1).alias("begins"), _linked(share, gap, F.col("w"), F.col("pw"), F.col("s"), F.col("ps")).alias("linked"))
-    seq = seq.withColumn("run", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(at.rowsBetween(W.unboundedPreceding, 0)))
-    seq = seq.withColumn("continues", F.coalesce(F.lead("linked").over(at), F.lit(False)))
-    # Whoever stands alone inside its block is done with.
-    seq = seq.where("linked or continues or begins or ends")
+    seq = seq.select("*", prior("w").alias("pw"), prior("s").alias("ps"), F.lead("i").over(at).isNull().alias("ends"), (F.row_number().over(at) == 1).alias("begins"))
+    seq = seq.withColumn("maybe", _possible(share, gap))
+    # Whoever stands alone inside its block is done with; the exact comparison sees only the rest.
+    seq = seq.withColumn("next", F.coalesce(F.lead("maybe").over(at), F.lit(False))).where("maybe or next or begins or ends")
+    seq = seq.select("k", "b", "i", "s", *["t"] * with_text, "begins", "ends", F.when(F.col("begins") | F.col("ends"), F.col("w")).alias("w"), _exactly(share, F.col("w"), F.when(F.col("maybe"), F.col("pw"))).alias("linked"))
+    seq = seq.withColumn("run", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(W.partitionBy("k", "b").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
     first = lambda c: F.min_by(c, "i").alias(f"{c}0")
     last = lambda c: F.max_by(c, "i").alias(f"{c}1")
     part = seq.groupBy("k", "b", "run").agg(
-        F.min("i").alias("i0"), F.max("i").alias("i1"), F.count("*").alias("n"), first("s"), last("s"), first("t"),
+        F.min("i").alias("i0"), F.max("i").alias("i1"), F.count("*").alias("n"), first("s"), last("s"), *[first("t")] * with_text,
         F.max(F.when(F.col("begins"), F.col("w"))).alias("w0"), F.max(F.when(F.col("ends"), F.col("w"))).alias("w1"), F.max("begins").alias("begins"), F.max("ends").alias("ends"),
     )
-    whole = part.where("not begins and not ends and n > 1").select("k", "i0", "i1", "n", "s0", "s1", "t0")
-
-    over = W.partitionBy("k").orderBy("i0")
-    edge = part.where("begins or ends").select("*", F.lag("w1").over(over).alias("pw"), F.lag("s1").over(over).alias("ps"), F.lag("ends").over(over).alias("pe"))
+    # Runs at an edge meet by sequence; the others pass in their own block's group and are left alone.
+    group = F.when(F.col("begins") | F.col("ends"), F.lit(-1)).otherwise(F.col("b"))
+    edge = part.where("begins or ends or n > 1").withColumn("g", group)
+    over = W.partitionBy("k", "g").orderBy("i0")
+    edge = edge.select("*", F.lag("w1").over(over).alias("pw"), F.lag("s1").over(over).alias("ps"), F.lag("ends").over(over).alias("pe"))
     joins = F.col("begins") & F.coalesce(F.col("pe"), F.lit(False))
-    linked = _linked(share, gap, F.col("w0"), F.when(joins, F.col("pw")), F.col("s0"), F.col("ps"))
-    edge = edge.withColumn("linked", linked).withColumn("run", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(over.rowsBetween(W.unboundedPreceding, 0)))
-    edge = edge.groupBy("k", "run").agg(
-        F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.sum("n").alias("n"), F.min_by("s0", "i0").alias("s0"), F.max_by("s1", "i1").alias("s1"), F.min_by("t0", "i0").alias("t0")
+    near = joins & _possible(share, gap)
+    edge = edge.withColumnsRenamed({"w0": "w", "s0": "s"}).withColumn("linked", _exactly(share, F.col("w"), F.when(near, F.col("pw")))).withColumnRenamed("s", "s0")
+    over = over.rowsBetween(W.unboundedPreceding, 0)
+    edge = edge.withColumn("run", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(over))
+    edge = edge.groupBy("k", "g", "run").agg(
+        F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.sum("n").alias("n"), F.min_by("s0", "i0").alias("s0"), F.max_by("s1", "i1").alias("s1"), *[F.min_by("t0", "i0").alias("t0")] * with_text
     )
-    edge = edge.where("n > 1").select("k", "i0", "i1", "n", "s0", "s1", "t0")
-    return whole.unionByName(edge).select(
+    return edge.where("n > 1").select(
         F.col("k").alias(key), F.col("i0").alias("first_cue"), F.col("i1").alias("last_cue"), F.col("n").alias("n_events"),
-        F.col("s0").alias("start"), (F.col("s1") - F.col("s0")).alias("seconds"), F.col("t0").alias("text"),
+        F.col("s0").alias("start"), (F.col("s1") - F.col("s0")).alias("seconds"), *[F.col("t0").alias("text")] * with_text,
     )
