@@ -9,7 +9,41 @@ from pyspark.sql import functions as F
 
 from ..functions.timecode import seconds
 from ..session import table
+from .cooccur import canonical, latest_entries, surprising_pairs
+from .mixing import mix
+from .packing import pack
 from .runs import collapse_runs
+from .sizes import with_tokens
+
+P4_FOUND = r"""
+WITH latest AS (
+  SELECT id, tools, row_number() OVER (PARTITION BY id ORDER BY try_cast(updated_at AS timestamptz) DESC NULLS LAST, tools DESC NULLS LAST) AS k
+  FROM library WHERE regexp_matches(coalesce(id, ''), '[^\s\x{00A0}]') AND regexp_matches(coalesce(path, ''), '[^\s\x{00A0}]')
+), entries AS (SELECT id, tools FROM latest WHERE k = 1
+), named AS (
+  SELECT id, regexp_replace(lower(t), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS t FROM (SELECT id, unnest(tools) AS t FROM entries)
+), aliases AS (SELECT name, lower(unnest(aliases)) AS alias FROM tools
+), held AS (
+  SELECT DISTINCT id, coalesce(a.name, t) AS t FROM named LEFT JOIN aliases a ON a.alias = t WHERE coalesce(t, '') <> ''
+), freq AS (SELECT t, count(*) AS n FROM held GROUP BY t)
+SELECT p.a AS tool_a, p.b AS tool_b
+FROM (SELECT x.t AS a, y.t AS b, count(*) AS n FROM held x JOIN held y ON x.id = y.id AND x.t < y.t GROUP BY ALL) p
+JOIN freq f ON f.t = p.a JOIN freq g ON g.t = p.b
+WHERE p.n >= 10 AND p.n * (SELECT count(*) FROM entries) >= 3.0 * f.n * g.n
+""".replace("\\\\", "\\")
+
+# Any tokenizer of words gives the same rows, so SQL counts words and marks.
+P6_FOUND = r"""
+SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) > 2048
+"""
+
+P7_FOUND = r"""
+WITH sized AS (
+  SELECT trim(lower(source)) AS source, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) AS n FROM documents WHERE text IS NOT NULL
+)
+SELECT t.source FROM mix_targets t
+WHERE coalesce((SELECT sum(n) FROM sized s WHERE s.source = t.source), 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM sized)
+"""
 
 
 def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,7 +51,41 @@ def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p1_runs(spark, sf).select("video_id", F.col("first_cue").cast("int"), F.col("last_cue").cast("int"))
+    runs = collapse_runs(table(spark, sf, "cues"), "video_id", "cue_index", seconds(F.col("ts")), "text", with_text=False)
+    return runs.select("video_id", F.col("first_cue").cast("int"), F.col("last_cue").cast("int"))
+
+
+def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return surprising_pairs(canonical(latest_entries(table(spark, sf, "library")), table(spark, sf, "tools")), least=10)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_pairs(spark, sf).where("lift >= 3").select(F.col("a").alias("tool_a"), F.col("b").alias("tool_b"))
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(with_tokens(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "tokens", 2048)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_containers(spark, sf).where("n_parts > 1 and part = 0").select("doc_id")
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    documents = with_tokens(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return mix(documents, table(spark, sf, "mix_targets"), key="doc_id", source="source", size="tokens")
+
+
+def p7_picks(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0]
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1]
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1].where("short").select("source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
