@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.timecode import seconds
 from ..session import table
 from .cooccur import canonical, latest_entries, surprising_pairs
+from .languages import track_languages
 from .mixing import mix
 from .packing import pack
 from .runs import collapse_runs
@@ -55,6 +56,15 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return runs.select("video_id", F.col("first_cue").cast("int"), F.col("last_cue").cast("int"))
 
 
+def p2_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    return track_languages(table(spark, sf, "subtitles"), table(spark, sf, "cues"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = p2_tracks(spark, sf).where("label_is <> 'right' or n_segments > 1")
+    return found.select("video_id", F.col("first_cue").cast("int"), "language")
+
+
 def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return surprising_pairs(canonical(latest_entries(table(spark, sf, "library")), table(spark, sf, "tools")), least=10)
 
