@@ -90,18 +90,19 @@ def smooth(cost: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def stretches(languages: np.ndarray, least: int = 5) -> list[tuple[int, int]]:
-    """(start, language) of the segments: runs of fewer than `least` go, shortest first, to the run around
-    them, to the one before where the two differ, or to the next at the beginning. Empty if nothing is long enough."""
+    """(start, language) of the segments: runs of fewer than `least` go, shortest first, to the language around
+    them; then those between two languages go to the run before, at the beginning to the next. Empty if nothing is long enough."""
     if len(languages) < least:
         return []
     change = np.flatnonzero(np.diff(languages)) + 1
     starts = [0, *change.tolist()]
     runs = [[a, b - a, int(languages[a])] for a, b in zip(starts, [*starts[1:], len(languages)])]
     while len(runs) > 1:
-        short = min((r[1], k) for k, r in enumerate(runs))
-        if short[0] >= least:
+        around = lambda k: 0 < k < len(runs) - 1 and runs[k - 1][2] == runs[k + 1][2]
+        short = [(not around(k), r[1], k) for k, r in enumerate(runs) if r[1] < least]
+        if not short:
             break
-        k = short[1]
+        k = min(short)[2]
         into = k + 1 if k == 0 else k - 1
         lang = runs[into][2]
         a, b = min(k, into), max(k, into)
