@@ -15,6 +15,7 @@ from .mixing import mix
 from .packing import pack
 from .runs import collapse_runs
 from .sizes import with_tokens
+from .turns import speaker_turns, turn_starts
 
 P4_FOUND = r"""
 WITH latest AS (
@@ -73,6 +74,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pairs(spark, sf).where("lift >= 3").select(F.col("a").alias("tool_a"), F.col("b").alias("tool_b"))
 
 
+def p5_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return speaker_turns(table(spark, sf, "cues"), table(spark, sf, "speakers"), seconds(F.col("ts")))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    starts = turn_starts(table(spark, sf, "cues"), table(spark, sf, "speakers"), seconds(F.col("ts")))
+    return starts.select(F.col("id").alias("video_id"), F.col("i").cast("int").alias("first_cue"), "speaker_id")
+
+
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack(with_tokens(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "tokens", 2048)
 
