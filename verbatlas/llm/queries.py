@@ -13,6 +13,7 @@ from .cooccur import canonical, latest_entries, surprising_pairs
 from .languages import track_languages
 from .mixing import mix
 from .packing import pack
+from .pairs import defects
 from .runs import collapse_runs
 from .sizes import with_tokens
 from .turns import speaker_turns, turn_starts
@@ -66,6 +67,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("video_id", F.col("first_cue").cast("int"), "language")
 
 
+def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    of = lambda t, kind, key: table(spark, sf, t).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "video_id", "question", "answer")
+    pairs = of("study_questions", "question", "question_id").unionByName(of("flashcards", "card", "card_id"))
+    return defects(pairs, table(spark, sf, "subtitles").select("video_id", "language"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_pairs(spark, sf).where("defect is not null").select(F.col("kind").alias("pair_kind"), F.col("id").alias("pair_id"), "defect")
+
+
 def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return surprising_pairs(canonical(latest_entries(table(spark, sf, "library")), table(spark, sf, "tools")), least=10)
 
