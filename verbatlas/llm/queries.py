@@ -14,6 +14,7 @@ from .languages import track_languages
 from .mixing import mix
 from .packing import pack
 from .pairs import defects
+from .pii import personal_spans, redacted
 from .runs import collapse_runs
 from .sizes import with_tokens
 from .turns import speaker_turns, turn_starts
@@ -119,6 +120,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1].where("short").select("source")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_spans(table(spark, sf, "documents"), table(spark, sf, "name_list")).select("doc_id", "kind", "value").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redacted(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "name_list"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
