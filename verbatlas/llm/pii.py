@@ -37,7 +37,7 @@ ID_FORMATS = [
     re.compile(x)
     for x in (
         r"\d{3}([- ])\d{2}\1\d{4}", r"\d{8}[- ]?[A-Z]", r"\d{2}\.\d{3}\.\d{3}[- ]?[A-Z]", r"[XYZ][- ]?\d{7}[- ]?[A-Z]", r"[A-Z]\d{2}[A-Z]\d{2}[A-Z]\d{2}\d?",
-        r"[12378] ?\d{2} ?\d{2} ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2}", r"[A-Z]{6} ?\d{2}[A-Z]\d{2} ?[A-Z]\d{3}[A-Z]", r"\d{3}\.\d{3}\.\d{3}-\d{2}",
+        r"[1-9] ?\d{2} ?\d{2} ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2}", r"[A-Z]{6} ?\d{2}[A-Z]\d{2} ?[A-Z]\d{3}[A-Z]", r"\d{3}\.\d{3}\.\d{3}-\d{2}",
     )
 ]
 ID = re.compile(r"(?<![\w.\-/+#@])(?:" + "|".join(re.sub(r"\(\[- \]\)|\\1", "[- ]", p.pattern) for p in ID_FORMATS) + r")(?![\w@]|[-.]\d)")
@@ -56,19 +56,19 @@ WORD = r"[^\W\d_][\w'’\-]*"
 STREET_END = r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm)"
 BEFORE = r"(?:calle|plaza|avenida|avda\.?|av\.|paseo|c/|rua|travessa|largo|praça|via|viale|piazza|corso|vicolo)"
 FRENCH = r"(?:rue|avenue|chemin|boulevard|bd|place|impasse|allée|quai|route|cours)"
-ENGLISH = r"(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|square|way|court|close)\b\.?"
+ENGLISH = r"(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|square|way|court|close)\b(?:\.(?=,))?"
 OF = r"(?:de la|de los|de las|des|del|della|dello|dei|do|da|dos|das|de|du|d['’]|di|l['’])"
-HOUSE = r"\d{1,4}(?:\s?[a-z]\b)?(?!\d)"
-FLAT = r"(?:,?\s(?:flat|apt\.?|apartment|unit|whg\.?|wohnung|appt\.?|int\.?)\s?\d{1,4}[a-z]?\b|,?\s\d{1,2}\s?[ºª°](?:\s?[a-z]\b)?)"
-PLACE = r"(?-i:[A-ZÀ-Þ])[\w'’\-]+(?:\s(?-i:[A-ZÀ-Þ])[\w'’\-]+){0,2}"
+HOUSE = r"\d{1,4}(?:[a-z]\b|[ \u00a0][a-z](?=[,.;!?<\n]|$))?(?!\d)"
+FLAT = r"(?:,?[ \u00a0](?:flat|apt\.?|apartment|unit|whg\.?|wohnung|appt\.?|int\.?)[ \u00a0]?\d{1,4}[a-z]?\b|,?[ \u00a0]\d{1,2}[ \u00a0]?[ºª°](?:[ \u00a0]?[a-z]\b)?)"
+PLACE = r"(?-i:[A-ZÀ-Þ])[\w'’\-]+(?:[ \u00a0](?-i:[A-ZÀ-Þ])[\w'’\-]+){0,2}"
 ANYPLACE = r"[^\W\d_][\w'’\-]+"
-TAIL = rf"{FLAT}?(?:,\s(?:[A-Z]-)?\d{{4,5}}\s{ANYPLACE}|,\s{ANYPLACE}\s\d{{4,5}}\b|,\s(?-i:[A-ZÀ-Þ])[\w'’\-]+)?"
+TAIL = rf"{FLAT}?(?:,[ \u00a0](?:[A-Z]-)?\d{{4,5}}[ \u00a0]{ANYPLACE}|,[ \u00a0]{ANYPLACE}[ \u00a0]\d{{4,5}}\b|,[ \u00a0](?-i:[A-ZÀ-Þ])[\w'’\-]+)?"
 ADDRESS = re.compile(
-    rf"(?<![\w])(?:{WORD}{STREET_END}\s{HOUSE}|{BEFORE}\s(?:{OF}\s?)?{WORD}(?:\s{WORD}){{0,2}}?,?\s(?:n[.º°]\s?)?{HOUSE}|{HOUSE},?\s{FRENCH}\s(?:{OF}\s?)?{WORD}|{HOUSE}\s{WORD}(?:\s{WORD})?\s{ENGLISH}){TAIL}", re.I
+    rf"(?<![\w])(?:{WORD}{STREET_END}[ \u00a0]{HOUSE}|{BEFORE}[ \u00a0](?:{OF}[ \u00a0]?)?{WORD}(?:[ \u00a0]{WORD}){{0,2}}?,?[ \u00a0](?:n[.º°][ \u00a0]?)?{HOUSE}|{HOUSE},?[ \u00a0]{FRENCH}[ \u00a0](?:{OF}[ \u00a0]?)?{WORD}|{HOUSE}[ \u00a0]{WORD}(?:[ \u00a0]{WORD})?[ \u00a0]{ENGLISH}){TAIL}", re.I
 )
 
 TOKEN = r"[^\W\d_]{2,}(?:['’][^\W\d_]{2,})?"
-NAME = re.compile(rf"(?<![\w.+\-@/=#&])({TOKEN})(,?\s(?:[^\W\d_]\.\s)?)({TOKEN})(-{TOKEN})?(?![\w@=/+]|\.\w|-\w)")
+NAME = re.compile(rf"(?<![\w.+\-@/=#&])({TOKEN})(,?[ \u00a0](?:[^\W\d_]\.[ \u00a0])?)({TOKEN})(-{TOKEN})?(?![\w@=/+]|\.\w|-\w)")
 
 # Words around spans that speak for or against a kind.
 FOR = {
@@ -172,16 +172,17 @@ def propose(text: str, known: Known) -> list[Span]:
         upper = [w[:1].isupper() for w in (m[1], m[3])]
         if first in known.common or second in known.common and second not in g | f:
             continue
-        if not listed and not all(upper):
-            continue
         both = (first in g and second in f) or (first in f and second in g)
         same = (m[1].isupper() == m[3].isupper()) and upper[0] == upper[1]
         start = text.rfind("\n", 0, m.start()) + 1
         stop = text.find("\n", m.end())
         alone = not re.sub(r"&gt;|<[^<>]*>|\[[^\[\]]*\]|[\s>»*_~|.!\-]", "", text[start : m.start()] + text[m.end() : stop if stop >= 0 else len(text)])
         tail = text[m.end() : m.end() + 40].lower()
+        # Unknown words in lower case are taken for a name only where a name is due.
+        if not listed and not all(upper) and not (not any(upper) and (alone or AFTER_NAME_NEAR.match(tail) or FOR_NEAR["name"].search(text[max(start, m.start() - 24) : m.start()].lower()))):
+            continue
         votes = [
-            1 if both else -1 if first in g and second in g and not third else 0, 1 if len(listed) >= 1 and len(listed) + len(strange) >= 2 else -1 if not listed else 0, 1 if alone else 0, 1 if AFTER_NAME_NEAR.match(tail) else 0,
+            1 if both else -1 if first in g and second in g and not third else 0, 1 if len(listed) >= 1 and len(listed) + len(strange) >= 2 else 0, 1 if alone else 0, 1 if AFTER_NAME_NEAR.match(tail) else 0,
             -1 if PRODUCT.match(text[m.end() : m.end() + 20]) else 0, -1 if comma and first in g and second not in g else 0, 0 if same else -1,
         ]
         out.append(_span("name", text, m.start(), m.end(), votes))
@@ -189,28 +190,22 @@ def propose(text: str, known: Known) -> list[Span]:
 
 
 def em(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of each span, log odds of each labeler's vote [labeler, vote + 1], prior) of two classes whose
-    labelers vote 1, 0 or -1 independently; started from the majority."""
+    """(posterior of each span, chance that each labeler's votes are right, prior) where labelers vote 1 or -1
+    independently and 0, no vote, says nothing. No labeler is taken to be wrong more often than not."""
     n, k = votes.shape
-    post = np.clip(0.5 + 0.2 * votes.sum(1), 0.05, 0.95)
-    odds = np.zeros((k, 3))
-    prior = 0.5
+    right, prior = np.full(k, 0.75), 0.5
+    post = np.full(n, 0.5)
     for _ in range(rounds):
-        prior = float(np.clip(post.mean(), 0.02, 0.98))
-        for v in (-1, 0, 1):
-            hit = votes == v
-            yes = (hit * post[:, None]).sum(0) + 1.0
-            no = (hit * (1 - post)[:, None]).sum(0) + 1.0
-            odds[:, v + 1] = np.log(yes / (post.sum() + 3.0)) - np.log(no / ((1 - post).sum() + 3.0))
-        # A vote never counts for the opposite of what it says.
-        odds[:, 2], odds[:, 0] = np.maximum(odds[:, 2], 0.0), np.minimum(odds[:, 0], 0.0)
-        z = np.log(prior / (1 - prior)) + odds[np.arange(k)[None, :], votes + 1].sum(1)
+        z = np.log(prior / (1 - prior)) + votes @ np.log(right / (1 - right))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         moved = np.abs(new - post).max() if n else 0
         post = new
         if moved < 1e-6:
             break
-    return post, odds, prior
+        prior = float(np.clip((post.sum() + 1) / (n + 2), 0.02, 0.98))
+        agree = ((votes > 0) * post[:, None] + (votes < 0) * (1 - post)[:, None]).sum(0)
+        right = np.clip((agree + 3) / ((votes != 0).sum(0) + 4), 0.55, 0.99)
+    return post, right, prior
 
 
 def logistic(features: list[tuple[int, ...]], truth: np.ndarray, rounds: int = 8, rate: float = 0.2, decay: float = 1e-5) -> np.ndarray:
@@ -218,7 +213,8 @@ def logistic(features: list[tuple[int, ...]], truth: np.ndarray, rounds: int = 8
     w = np.zeros(WIDTH)
     seen = np.ones(WIDTH)
     order = np.random.default_rng(9)
-    rows = [np.array(x, np.int64) for x in features]
+    often = np.bincount([y for x in features for y in x], minlength=WIDTH) >= 5  # what is rarer says nothing
+    rows = [np.array([y for y in x if often[y]], np.int64) for x in features]
     for _ in range(rounds):
         for k in order.permutation(len(rows)):
             x = rows[k]
@@ -270,9 +266,9 @@ def fit(texts: list[str], known: Known) -> Model:
     weights, reliability = {}, {}
     for kind, found in spans.items():
         if len(found) >= 20:
-            post, odds, _ = em(np.array([s.votes for s in found]))
+            post, right, _ = em(np.array([s.votes for s in found]))
             weights[kind] = logistic([s.features for s in found], post)
-            reliability[kind] = (odds[:, 2] - odds[:, 0]).round(3).tolist()
+            reliability[kind] = right.round(3).tolist()
     return Model(known, weights, reliability)
 
 
