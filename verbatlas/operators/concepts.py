@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions.timecode import code
+from ..session import cut
 
 TOKEN = r"(?i)[a-záéíóúñüÁÉÍÓÚÑÜ0-9]+(?:[.-][a-záéíóúñüÁÉÍÓÚÑÜ0-9]+)*"
 BREAK = r"[,;:!?…—–]|\s-\s"
@@ -24,26 +25,26 @@ BREAK = r"[,;:!?…—–]|\s-\s"
 def ngrams(units: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, unit, i, words, name, second, hinted): every run of one to three words without a break inside.
 
-    units: keys, unit (order within keys), text and fragments of (second, text), or second alone. hinted: a
-    determiner stands before, or the last word looks descriptive.
+    units: keys, unit (order within keys), text and fragments of (second, text) that make it up, or second
+    alone. hinted: a determiner stands before, or the last word looks descriptive.
     """
-    text = F.col("text")
-    rows = units.select(*keys, "unit", *(["fragments"] if "fragments" in units.columns else ["second"]), T.all_matches(text, TOKEN).alias("raw"), F.split(text, TOKEN, -1).alias("gaps"))
-    rows = rows.withColumn("t", F.transform("raw", F.lower)).withColumn("broken", F.transform("gaps", lambda g: g.rlike(BREAK)))
-    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - 1)).alias("i")).where("size(t) > 0")
-    each = each.select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("i + n <= size(t)")
-    each = each.where((F.col("n") == 1) | ~F.exists(F.slice("broken", F.col("i") + 2, F.greatest(F.col("n") - 1, F.lit(1))), lambda b: b))
-    last = F.try_element_at("t", F.col("i") + F.col("n"))
-    hinted = F.when(F.col("i") > 0, F.try_element_at("t", F.greatest(F.col("i"), F.lit(1))).isin(*L.DETERMINERS)).otherwise(False) | last.rlike(L.DESCRIPTIVE_ENDING) | last.isin(*L.DESCRIPTORS)
-    # Where the first word starts: what is before it, tokens and gaps.
-    before = F.aggregate(F.slice("raw", 1, F.col("i")), F.lit(0), lambda a, x: a + F.char_length(x)) + F.aggregate(F.slice("gaps", 1, F.col("i") + 1), F.lit(0), lambda a, x: a + F.char_length(x))
-    each = each.withColumn("start", before)
-    if "fragments" in units.columns:
-        begun = F.struct(F.lit(0).alias("at"), F.lit(None).cast("bigint").alias("second"))
-        found = F.aggregate("fragments", begun, lambda a, f: F.struct((a["at"] + F.char_length(f["text"]) + 1).alias("at"), F.when(F.col("start") >= a["at"], f["second"]).otherwise(a["second"]).alias("second")))
-        each = each.withColumn("second", found["second"])
-    words = F.slice("t", F.col("i") + 1, F.col("n"))
-    return each.select(*keys, "unit", "i", words.alias("words"), F.array_join(words, " ").alias("name"), "second", "start", F.coalesce(hinted, F.lit(False)).alias("hinted"))
+    # No word runs across fragments, for they are one blank apart.
+    own = lambda text, second: F.transform(T.all_matches(text, TOKEN), lambda t: F.struct(F.lower(t).alias("t"), second.alias("second")))
+    found = F.flatten(F.transform("fragments", lambda f: own(f["text"], f["second"]))) if "fragments" in units.columns else own(F.col("text"), F.col("second"))
+    rows = units.select(*keys, "unit", found.alias("found"), F.transform(F.split("text", TOKEN, -1), lambda g: g.rlike(BREAK)).alias("broken")).where(F.size("found") > 0)
+    # Each place takes its neighbours along, so that no row carries a whole text.
+    at = lambda i: F.get("found", i)["t"]
+    near = F.transform(
+        F.sequence(F.lit(0), F.size("found") - 1),
+        lambda i: F.struct(i.alias("i"), at(i - 1).alias("before"), F.get("found", i).alias("x"), at(i + 1).alias("t1"), at(i + 2).alias("t2"), F.get("broken", i + 1).alias("b1"), F.get("broken", i + 2).alias("b2")),
+    )
+    each = rows.select(*keys, "unit", F.explode(near).alias("p")).select(*keys, "unit", "p.*").select(*keys, "unit", "i", "before", F.col("x.t").alias("t0"), F.col("x.second").alias("second"), "t1", "t2", "b1", "b2")
+    two = F.col("t1").isNotNull() & ~F.col("b1")
+    sizes = F.array(F.array("t0"), F.when(two, F.array("t0", "t1")), F.when(two & F.col("t2").isNotNull() & ~F.col("b2"), F.array("t0", "t1", "t2")))
+    each = each.select(*keys, "unit", "i", "before", "second", F.explode(F.array_compact(sizes)).alias("words"))
+    last = F.element_at("words", -1)
+    hinted = F.coalesce(F.col("before").isin(*L.DETERMINERS), F.lit(False)) | last.rlike(L.DESCRIPTIVE_ENDING) | last.isin(*L.DESCRIPTORS)
+    return each.select(*keys, "unit", "i", "words", F.array_join("words", " ").alias("name"), "second", hinted.alias("hinted"))
 
 
 def _in(word: Column, words: Iterable[str]) -> Column:
@@ -123,7 +124,7 @@ def choose(candidates: list[tuple[str, set[str]]], limit: int) -> list[str]:
 def concepts(units: DataFrame, keys: list[str], limit: int = 15, stopwords: Iterable[str] = L.STOPWORDS) -> DataFrame:
     """(keys, rank, name, score, n, frequency, distribution, association, timestamps): at most `limit` a key, scores
     rounded to six digits, the first five different times."""
-    ranked = scored(units, keys, stopwords)
+    ranked = cut(scored(units, keys, stopwords))
     longer = nested(ranked, keys).groupBy(*keys, F.col("short").alias("name")).agg(F.array_sort(F.collect_set("long")).alias("longer"))
     rows = ranked.join(longer, [*keys, "name"], "left")
     small = rows.select(*keys, "name", "rank", F.coalesce("longer", F.array().cast("array<string>")).alias("longer"))

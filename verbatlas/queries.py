@@ -11,7 +11,7 @@ from .functions import lexicon as L
 from .functions import text as T
 from .functions.timecode import code, seconds
 from .operators import captions, concepts, ideas, keywords, library, questions, search, subtitles, tools, units
-from .session import table
+from .session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -330,7 +330,7 @@ def rolling_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def informative_units(spark: SparkSession, sf: str) -> DataFrame:
-    return units.informative(units.sentence_units(captions.without_overlap(timed_cues(spark, sf))))
+    return cut(units.informative(units.sentence_units(captions.without_overlap(timed_cues(spark, sf)))))
 
 
 @query()
