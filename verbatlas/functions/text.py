@@ -26,7 +26,7 @@ def all_matches(text: Column, pattern: str) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " "))
 
 
 def terms(text: Column) -> Column:

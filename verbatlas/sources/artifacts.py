@@ -116,7 +116,7 @@ def study_files(result: dict[str, DataFrame], videos: DataFrame, now: str) -> Da
         "questions.md": line("# Preguntas de repaso\n", c("questions", "\nSin preguntas generadas."), "\n"), "flashcards.md": line("# Flashcards\n\n", c("cards")),
         "study_guide.md": line("# Guía de estudio: ", F.col("title"), "\n\n## 1. Qué debes entender\n\n", c("understood"), "\n\n## 2. Cómo estudiar el video\n\n1. Lee primero `summary.md`.\n2. Revisa `tools.md` para identificar herramientas.\n3. Revisa en `concepts.md` los conceptos ordenados y sus referencias temporales.\n4. Contesta `questions.md` sin mirar la transcripción.\n5. Repasa con `flashcards.md`.\n\n## 3. Preguntas clave\n\n", c("keys"), "\n"),
         "study.md": line("# Estudio consolidado: ", F.col("title"), "\n\n_Formato de análisis: 3_\n\n## Resumen\n\n### Palabras clave\n\n", c("words", "Sin palabras clave."), "\n\n### Ideas importantes\n\n", c("told", "Sin ideas generadas."), "\n\n## Herramientas\n\n", c("tools", none_tools), "\n## Conceptos\n\n", c("concepts", none_concepts), "\n## Preguntas\n", c("questions", "\nSin preguntas generadas."), "\n\n## Flashcards\n\n", c("cards")),
-        "anki.csv": line("﻿Front,Back,Tags\r\n", c("anki"), "\r\n"),
+        "anki.csv": line("\ufeffFront,Back,Tags\r\n", c("anki"), "\r\n"),
     }
     rows = F.array(*[F.struct(F.lit(f).alias("file"), contents[f].alias("content")) for f in FILES])
     return wide.select("video_id", F.explode(rows).alias("x")).select("video_id", "x.*")

@@ -16,14 +16,14 @@ from ..operators.library import kind_of, validated
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): whole files, invalid UTF-8 left out as far as it shows."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("�"), F.lit("")).alias("value"))
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("\ufffd"), F.lit("")).alias("value"))
     return df
 
 
 def parse_vtt(files: DataFrame, key: str = "path") -> DataFrame:
     """(key, cue_index, ts, second, text) of WebVTT texts (key, value). A cue is a time line and the lines up to the next blank or header line;
     lines of digits are numbers of cues, text without a time line is lost, cues without readable time or text go."""
-    lines = files.select(key, F.posexplode(F.split("value", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]")).alias("no", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", r"^[\s ﻿]+|[\s ]+$", "")))
+    lines = files.select(key, F.posexplode(F.split("value", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]")).alias("no", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", r"^[\s\u00a0\ufeff]+|[\s\u00a0]+$", "")))
     time = F.contains("line", F.lit("-->"))
     edge = (F.col("line") == "") | F.col("line").rlike("^(?:WEBVTT|Kind:|Language:|NOTE)") | time
     w = W.partitionBy(key).orderBy("no")
