@@ -136,8 +136,8 @@ def places(text: str, names: Names) -> list[tuple[int, int, list[tuple[int, floa
             most = 2 if label[:1].isupper() or w.start(1) + len(w[1]) - len(label) < 4 else 0
             if first and (who := names.match(label, most)):
                 at = m.start() - len(label)
-                lead = re.search(r"(?:>>+|[-–—])?\s*$", text[:at])
-                out.append((lead.start(), m.end(), who))
+                lead = re.search(r"(?:>>+|[-–—])?\s*$", text[max(0, at - 12) : at])
+                out.append((max(0, at - 12) + lead.start(), m.end(), who))
                 break
     out.sort(key=lambda x: x[0])
     kept = []
