@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_rows
 
-#: Documents, by hash, that labelers and classifier are fitted on; names the gazetteer may hold; features by hash.
-SAMPLE, MOST_NAMES, WIDTH = 20_000, 100_000, 1 << 14
+#: Documents, by hash, that labelers and classifier are fitted on, and the characters that one of these may have;
+#: names the gazetteer may hold; features by hash.
+SAMPLE, LONGEST, MOST_NAMES, WIDTH = 20_000, 2**31 - 1, 100_000, 1 << 14
 #: A word is common from this share of documents on, or half of it if it's mostly in lower case; at most MOST_WORDS are kept, by frequency.
 COMMON, MOST_WORDS = 0.004, 200_000
 
@@ -86,6 +88,9 @@ AGAINST = {
     "address": "chapter|edition|lane|page|score|firmware|order",
     "name": "best|team|thanks|günstig|jetzt|sent from|the|mehr|comprar|compra|mejores|melhores",
 }
+MARKS = re.compile(r"&gt;|<[^<>]*>|\[[^\[\]]*\]|[\s>»*_~|.!\-]")
+#: Characters of its line that are looked at on each side of a name.
+LINE = 240
 PRODUCT = re.compile(r"\s*(?:pump|pills|v\d|phone|since|edition|degrees|günstig|kaufen|\+|said|wrote|schrieb|escribió|escreveu|cloud|ha scritto|a écrit|dijo)", re.I)
 
 
@@ -174,9 +179,11 @@ def propose(text: str, known: Known) -> list[Span]:
             continue
         both = (first in g and second in f) or (first in f and second in g)
         same = (m[1].isupper() == m[3].isupper()) and upper[0] == upper[1]
-        start = text.rfind("\n", 0, m.start()) + 1
-        stop = text.find("\n", m.end())
-        alone = not re.sub(r"&gt;|<[^<>]*>|\[[^\[\]]*\]|[\s>»*_~|.!\-]", "", text[start : m.start()] + text[m.end() : stop if stop >= 0 else len(text)])
+        # Alone: nothing but marks on its line, whose ends are looked for nearby.
+        start = max(text.rfind("\n", max(0, m.start() - LINE), m.start()) + 1, m.start() - LINE, 0)
+        stop = text.find("\n", m.end(), m.end() + LINE)
+        stop = min(m.end() + LINE, len(text)) if stop < 0 else stop
+        alone = not MARKS.sub("", text[start : m.start()] + text[m.end() : stop])
         tail = text[m.end() : m.end() + 40].lower()
         # Unknown words in lower case are taken for a name only where a name is due.
         if not listed and not all(upper) and not (not any(upper) and (alone or AFTER_NAME_NEAR.match(tail) or FOR_NEAR["name"].search(text[max(start, m.start() - 24) : m.start()].lower()))):
@@ -272,13 +279,27 @@ def fit(texts: list[str], known: Known) -> Model:
     return Model(known, weights, reliability)
 
 
+PLAIN_WORD = re.compile(r"(?<![\w.+@\-])[^\W\d_]{2,}(?![\w@+]|\.[^\W\d_])")
+
+
 def common_words(documents: DataFrame) -> set[str]:
     """Words of the language rather than names: by the share of all documents that have them, and of their
     uses that are in lower case. The list is bounded by MOST_WORDS."""
     n = documents.where("text is not null").count()
-    words = documents.select(F.monotonically_increasing_id().alias("d"), F.explode(F.expr(r"regexp_extract_all(text, '(?<![\\p{L}\\p{N}.+@_\\-])\\p{L}{2,}(?![\\p{L}\\p{N}@_+]|\\.\\p{L})', 0)")).alias("w"))
-    each = words.groupBy("d", F.lower("w").alias("w")).agg(F.max((F.col("w") == F.lower("w")).cast("int")).alias("low"))
-    df = each.groupBy("w").agg(F.count("*").alias("n"), F.sum("low").alias("low"))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Documents per word are added up batch by batch, so that no document's words are shuffled.
+        for f in frames:
+            total: Counter = Counter()
+            low: Counter = Counter()
+            for t in f["text"]:
+                words = set(PLAIN_WORD.findall(t))
+                total.update({w.lower() for w in words})
+                low.update({w for w in words if w == w.lower()})
+            yield pd.DataFrame({"w": list(total), "n": list(total.values()), "low": [low[w] for w in total]})
+
+    counted = documents.where("text is not null").select("text").mapInPandas(count, "w string, n bigint, low bigint")
+    df = counted.groupBy("w").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
     least = max(3.0, COMMON * n)
     keep = df.where((F.col("n") >= least) | ((F.col("n") >= max(3.0, least / 2)) & (F.col("low") >= 0.6 * F.col("n"))))
     return {r.w for r in keep.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()}
@@ -289,7 +310,7 @@ def model_for(documents: DataFrame, names: DataFrame) -> Model:
     rows = bounded_rows(names.select(F.lower("name").alias("n"), "name_part").where("name is not null"), MOST_NAMES)
     given, family = ({r.n for r in rows if r.name_part == part} for part in ("given", "family"))
     known = Known(given, family, common_words(documents) - given - family)
-    texts = [r.text for r in documents.where("text is not null").select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE).collect()]
+    texts = [r.text for r in documents.where(F.char_length("text") <= LONGEST).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE).collect()]
     return fit(texts, known)
 
 
