@@ -23,7 +23,7 @@ from ..session import bounded_rows
 
 #: Documents, by hash, that labelers and classifier are fitted on, and the characters that one of these may have;
 #: names the gazetteer may hold; features by hash.
-SAMPLE, LONGEST, MOST_NAMES, WIDTH = 20_000, 2**31 - 1, 100_000, 1 << 14
+SAMPLE, LONGEST, MOST_NAMES, WIDTH = 10_000, 20_000, 100_000, 1 << 14
 #: A word is common from this share of documents on, or half of it if it's mostly in lower case; at most MOST_WORDS are kept, by frequency.
 COMMON, MOST_WORDS = 0.004, 200_000
 
