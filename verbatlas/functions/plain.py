@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from . import lexicon as L
 
@@ -16,7 +15,6 @@ REPEATED = re.compile(r"\b([a-záéíóúñü]+)\b(?:\s*[,;:]\s*|\s+)\1\b")
 TERM = re.compile(L.TERM)
 
 
-@lru_cache(4096)
 def profile(text: str) -> tuple[tuple, frozenset[str]]:
     """(what must be equal, content tokens)."""
     low = text.lower()
@@ -25,15 +23,25 @@ def profile(text: str) -> tuple[tuple, frozenset[str]]:
     return same, frozenset(w for w in words if w not in L.STOPWORDS)
 
 
-def similarity(a: str, b: str) -> float:
-    (same_a, x), (same_b, y) = profile(a), profile(b)
+def shared(a: tuple, b: tuple) -> float:
+    """How alike two texts are, from their profiles."""
+    (same_a, x), (same_b, y) = a, b
     return len(x & y) / len(x | y) if same_a == same_b and x and y else 0.0
 
 
-def distinct(texts: list[str], near: float = NEAR) -> list[int]:
-    """Places of the texts that aren't nearly the same as one kept before."""
+def similarity(a: str, b: str) -> float:
+    return shared(profile(a), profile(b))
+
+
+def distinct(texts: list[str], near: float = NEAR, most: int | None = None) -> list[int]:
+    """Places of the texts that aren't nearly the same as one kept before; at most `most`."""
     kept: list[int] = []
+    seen: list[tuple] = []
     for k, t in enumerate(texts):
-        if all(similarity(t, texts[j]) < near for j in kept):
+        if most is not None and len(kept) >= most:
+            break
+        p = profile(t)
+        if all(shared(p, q) < near for q in seen):
             kept.append(k)
+            seen.append(p)
     return kept

@@ -51,18 +51,26 @@ def _in(word: Column, words: Iterable[str]) -> Column:
     return word.isin(*sorted(set(words)))
 
 
-def eligible(stopwords: Iterable[str] = L.STOPWORDS) -> Column:
-    """Which counted n-grams (words, n, hints) may be concepts."""
+def possible(stopwords: Iterable[str] = L.STOPWORDS) -> Column:
+    """Which n-grams may be concepts by their words alone; asked before anything is counted."""
     w, n = F.col("words"), F.size("words")
-    stop, acts = T.listed(stopwords), T.listed(L.GENERIC_ACTIONS)
-    first, last, second = F.try_element_at(w, F.lit(1)), F.try_element_at(w, F.lit(-1)), F.try_element_at(w, F.lit(2))
-    content = F.filter(w, lambda x: ~F.array_contains(stop, x))
-    sound = ~_in(first, stopwords) & ~_in(last, stopwords) & ~F.exists(w, lambda x: x.rlike("^[0-9]+$")) & (F.size(F.array_distinct(w)) == n)
+    first, last = F.element_at(w, 1), F.element_at(w, -1)
+    inner = F.try_element_at(w, F.lit(2))
+    distinct = (n == 1) | ((first != last) & ((n == 2) | ((first != inner) & (inner != last))))
+    digits = F.array_join(w, " ").rlike(r"(?:^| )[0-9]+(?: |$)")
     one = (F.char_length(first) >= 3) & ~_in(first, L.GENERIC_TERMS) & ~_in(first, L.GENERIC_ACTIONS)
-    often = F.col("n") >= 2
-    many = ~F.arrays_overlap(w, acts) & (F.size(content) >= 2) & (often | F.forall(content, lambda x: F.char_length(x) >= 4))
-    many = many & F.when(n == 3, second.isin(*L.CONNECTORS) | often).otherwise(often | (F.col("hints") > 0))
-    return sound & F.when(n == 1, one).otherwise(many)
+    many = ~_in(first, L.GENERIC_ACTIONS) & ~_in(last, L.GENERIC_ACTIONS) & ~F.coalesce(_in(inner, L.GENERIC_ACTIONS), F.lit(False))
+    return ~_in(first, stopwords) & ~_in(last, stopwords) & ~digits & distinct & F.when(n == 1, one).otherwise(many)
+
+
+def eligible(stopwords: Iterable[str] = L.STOPWORDS) -> Column:
+    """Which of the possible n-grams are concepts by their counts (n, hints). A possible one of several words has
+    content at both ends."""
+    w, size = F.col("words"), F.size("words")
+    inner, often = F.try_element_at(w, F.lit(2)), F.col("n") >= 2
+    long = (F.char_length(F.element_at(w, 1)) >= 4) & (F.char_length(F.element_at(w, -1)) >= 4) & ((size < 3) | _in(inner, stopwords) | (F.char_length(inner) >= 4))
+    many = (often | long) & F.when(size == 3, _in(inner, L.CONNECTORS) | often).otherwise(often | (F.col("hints") > 0))
+    return (size == 1) | many
 
 
 def scored(units: DataFrame, keys: list[str], stopwords: Iterable[str] = L.STOPWORDS) -> DataFrame:
@@ -70,7 +78,7 @@ def scored(units: DataFrame, keys: list[str], stopwords: Iterable[str] = L.STOPW
     for one word), score, rank, seconds (different ones, in order). Scores aren't rounded."""
     grams = ngrams(units, keys)
     place = F.struct("unit", "i")
-    counted = grams.groupBy(*keys, "name", "words").agg(F.count("*").alias("n"), F.sum(F.col("hinted").cast("int")).alias("hints"), F.min("unit").alias("first"), F.array_sort(F.collect_list(F.struct(place.alias("p"), "second"))).alias("places")).where(eligible(stopwords))
+    counted = grams.where(possible(stopwords)).groupBy(*keys, "name", "words").agg(F.count("*").alias("n"), F.sum(F.col("hinted").cast("int")).alias("hints"), F.min("unit").alias("first"), F.array_sort(F.collect_list(F.struct(place.alias("p"), "second"))).alias("places")).where(eligible(stopwords))
     counted = counted.withColumn("seconds", F.array_distinct(F.transform("places", lambda x: x["second"])))
     times = units.groupBy(*keys).agg(F.min("second").alias("t0"), F.max("second").alias("t1"), F.least(F.countDistinct("second"), F.lit(5)).cast("bigint").alias("bins"))
     tokens = grams.where((F.size("words") == 1) & ~_in(F.col("name"), stopwords)).groupBy(*keys, F.col("name").alias("word")).agg(F.count("*").alias("of"))

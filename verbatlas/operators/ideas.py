@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import plain
 from ..functions import text as T
+from ..functions.plain import distinct as distinct_texts
 from .captions import chunks
 from .keywords import keywords
 from .units import UNIT, windows
@@ -30,13 +30,7 @@ def ideas(units: DataFrame, limit: int = 12) -> DataFrame:
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["score", "position", "part"], ascending=[False, True, True])
-        kept: list[int] = []
-        texts = f["text"].tolist()
-        for k, t in enumerate(texts):
-            if all(plain.similarity(t, texts[j]) < plain.NEAR for j in kept):
-                kept.append(k)
-                if len(kept) >= limit:
-                    break
+        kept = distinct_texts(f["text"].tolist(), most=limit)
         return f.iloc[kept].drop(columns="score")
 
     chosen = packed.groupBy("video_id").applyInPandas(run, UNIT)
@@ -49,7 +43,7 @@ def best_sentences(texts: DataFrame, keys: list[str], limit: int = 3) -> DataFra
 
     @F.pandas_udf("array<string>")
     def distinct(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: [x[k] for k in plain.distinct(list(x))])
+        return lists.map(lambda x: [x[k] for k in distinct_texts(list(x))])
 
     listed = texts.select(*keys, distinct(T.sentences(F.col("text"))).alias("s"))
     each = listed.select(*keys, F.posexplode("s").alias("pos", "text"))

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import plain
 from ..functions import text as T
+from ..functions.plain import NEAR, profile, shared
 from .captions import BLOCK, by_blocks
 
 # When a unit must end.
@@ -128,9 +128,12 @@ def windows(units: DataFrame, size: int = 3, max_words: int = 90, max_gap: int =
         for r in rows:
             r["fragments"] = [dict(x) if not hasattr(x, "asDict") else x.asDict() for x in r["fragments"]]
         kept: list[dict] = []
+        seen: list[tuple] = []  # seconds and profiles of the last eight
         for r in rows:
-            if not distinct or not any(abs(r["second"] - k["second"]) <= 15 and plain.similarity(r["text"], k["text"]) >= plain.NEAR for k in kept[-8:]):
+            p = profile(r["text"]) if distinct else None
+            if not distinct or not any(abs(r["second"] - s) <= 15 and shared(p, q) >= NEAR for s, q in seen):
                 kept.append(r)
+                seen = [*seen[-7:], (r["second"], p)]
         out, held, words = [], [], 0
         for r in kept:
             n = len(WORDS.findall(r["text"]))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,3 +52,20 @@ def bounded_rows(df: DataFrame, most: int) -> list:
     if len(rows) > most:
         raise ValueError(f"expected at most {most} rows of a small table")
     return rows
+
+
+class Shipped:
+    """A value sent to every executor once. Its classes go along, so executors need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value: object = None
+
+    def __getstate__(self) -> dict:
+        return {"_sent": self._sent, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._sent.value)
+        return self._value
