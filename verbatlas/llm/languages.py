@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.barrier import where_computed
+from ..session import Shipped
 from .profiles import Profiles, trained
 from .streams import whole_groups
 
@@ -185,7 +186,7 @@ def segments(cues: DataFrame, model: Profiles, least: int = 5, block: int = BLOC
     if not model.languages:
         return spark.createDataFrame([], "id string, first_cue bigint, last_cue bigint, language string, n_cues bigint, confidence double")
     names = model.languages
-    sent = spark.sparkContext.broadcast(model)
+    sent = Shipped(spark, model)
     measured = cues.mapInArrow(_measure(sent), "id string, i bigint, " + ", ".join(f"{x} smallint" for x in names))
     own, at = F.floor(F.col("i") / F.lit(block)), F.pmod("i", F.lit(block))
     seen = F.array_compact(F.array(own, F.when((at < overlap) & (own > 0), own - 1), F.when(at >= block - overlap, own + 1)))

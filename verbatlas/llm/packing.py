@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Shipped, cut
 
 #: Groups that the items of one length are ranked in, so that a frequent length is no single group.
 SALTS = 64
@@ -147,7 +147,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFra
         base_id += times
     starts = {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in slots.items()}
     before = dict(zip(zip(counts["length"].tolist(), counts["salt"].tolist()), (counts.groupby("length")["n"].cumsum() - counts["n"]).tolist()))
-    sent = spark.sparkContext.broadcast((starts, before))
+    sent = Shipped(spark, (starts, before))
 
     @F.pandas_udf("bigint")
     def container(length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.Series:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows
+from ..session import Shipped, bounded_rows
 
 #: Documents, by hash, that labelers and classifier are fitted on, and the characters that one of these may have;
 #: names the gazetteer may hold; features by hash.
@@ -318,7 +318,7 @@ def personal_spans(documents: DataFrame, names: DataFrame, model: Model | None =
     """(doc_id, kind, start, value): every piece found, start counting characters from 0. Texts that are null or
     empty give none; documents that repeat give their pieces each time; an empty table gives an empty
     result. Other columns are ignored."""
-    sent = documents.sparkSession.sparkContext.broadcast(model or model_for(documents, names))
+    sent = Shipped(documents.sparkSession, model or model_for(documents, names))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = sent.value
@@ -333,7 +333,7 @@ def personal_spans(documents: DataFrame, names: DataFrame, model: Model | None =
 def redacted(documents: DataFrame, names: DataFrame, model: Model | None = None) -> DataFrame:
     """documents with text replaced by the text in which [EMAIL], [ID_NUMBER], [PHONE], [ADDRESS] and [NAME] stand
     for the pieces found; null stays null."""
-    sent = documents.sparkSession.sparkContext.broadcast(model or model_for(documents, names))
+    sent = Shipped(documents.sparkSession, model or model_for(documents, names))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows, cut
+from ..session import Shipped, bounded_rows, cut
 from .streams import whole_groups
 
 #: Positions per block: a block is decoded for every speaker that may be speaking at its start.
@@ -285,7 +285,7 @@ def turn_places(cues: DataFrame, second: Column, names: Names, block: int = BLOC
     at = W.partitionBy("id", "b").orderBy("i", "s", "t")
     rows = rows.select("*", F.lag("i").over(at).alias("pi"), (F.col("s") - F.lag("s").over(at)).alias("gap"), F.coalesce(F.lag("ended").over(at), F.lit(True)).alias("end"))
     rows = rows.where("t is not null and (pi is null or pi <> i)").select("id", "i", "t", "gap", "end")
-    sent = cues.sparkSession.sparkContext.broadcast(names)
+    sent = Shipped(cues.sparkSession, names)
     return rows.mapInArrow(_places(sent), "id string, i bigint, k int, who array<int>, score array<float>, marked boolean, pause boolean, runs_on boolean")
 
 
@@ -335,7 +335,7 @@ def turn_starts(cues: DataFrame, speakers: DataFrame, second: Column, block: int
     sample: dict[str, list] = {}
     for r in events.where(F.col("id").isin(list(chosen)) & (F.col("i") < POSITIONS)).orderBy("id", "i", "k").collect() if chosen else []:
         sample.setdefault(r.id, []).append((dict(zip(r.who, r.score)), r.marked, r.pause, r.runs_on))
-    sent = spark.sparkContext.broadcast(learn([(e, chosen[v]) for v, e in sample.items()]))
+    sent = Shipped(spark, learn([(e, chosen[v]) for v, e in sample.items()]))
     blocks = events.repartition("id", "b").sortWithinPartitions("id", "b", "i", "k")
     found = blocks.mapInArrow(_decode(sent), "id string, b bigint, before int, after int, i array<bigint>, k array<int>, w array<int>")
     return _chained(found).select("id", F.explode(F.arrays_zip("i", "k", "w")).alias("x")).select("id", "x.i", "x.k", F.col("x.w").alias("speaker_id"))
@@ -383,7 +383,7 @@ def speaker_turns(cues: DataFrame, speakers: DataFrame, second: Column, block: i
     turn, videos without labels have none; empty tables give an empty result. Other columns are ignored.
     """
     names = Names([tuple(r) for r in bounded_rows(speakers.select("speaker_id", "given_name", "family_name", "nickname").where("speaker_id is not null"), MOST_SPEAKERS)])
-    sent = cues.sparkSession.sparkContext.broadcast(names)
+    sent = Shipped(cues.sparkSession, names)
     starts = cut(turn_starts(cues, speakers, second, block)).select("*", F.lit(True).alias("starts"))
     rows = cues.select(F.col("video_id").alias("id"), F.col("cue_index").cast("bigint").alias("i"), second.cast("bigint").alias("s"), "text").where("id is not null and i is not null and text is not null")
     pieces = rows.join(starts.select("id").distinct(), "id", "left_semi").mapInArrow(_pieces(sent), "id string, i bigint, k int, s bigint, piece string")
