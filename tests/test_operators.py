@@ -26,6 +26,24 @@ def test_tools(spark):
     assert got == [("tmux", 2, "known"), ("MacBook", 3, "unknown"), ("GNU", 2, "unknown"), ("JS", 2, "unknown"), ("node.JS", 2, "unknown")]
 
 
+def test_unknown_tools_of_all_texts(spark, sf_dir):
+    """Texts in any script, against a plain pass with Python's words."""
+    import re
+
+    shapes = [r"\b[a-zA-Z][a-zA-Z0-9]*(?:[.-][a-zA-Z0-9]+)+\b", r"\b[A-Z]{2,8}\b", r"\b[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+\b"]
+    texts = ["El código usa GPIO, ¿GPIO? ÑGPIO éGPIO GPIOß _GPIO", "Größe: OpenScad – OpenScadé no, OpenScad.", "año node-red y node-red; node-redé"]
+    df = spark.createDataFrame([("s", k, t) for k, t in enumerate(texts)], "source string, doc_id int, text string")
+    assert sorted((r.name, r.n) for r in tools.unknown_tools(df, ["source"], "text", order="doc_id").collect()) == [("GPIO", 2), ("OpenScad", 2), ("node-red", 2)]
+    counts = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null and text is not null").collect():
+        for name in (m for x in shapes for m in re.findall(x, r.text)):
+            counts[r.source.strip(" ").lower(), name] = counts.get((r.source.strip(" ").lower(), name), 0) + 1
+    known = {r.name.lower() for r in spark.read.parquet(f"{sf_dir}/tools.parquet").collect() if r.name}
+    out = {*known, *tools.L.STOPWORDS}
+    want = {(*k, n) for k, n in counts.items() if n >= 2 and k[1] not in tools.L.IGNORED_CANDIDATES and k[1].lower().strip(".-") not in out}
+    assert {tuple(r) for r in QUERIES["unknown_candidates_all"](spark, sf_dir).select("source", "name", "n").collect()} == want
+
+
 def test_rolling_overlap(spark):
     got = captions.without_overlap(cues(spark, ["Hola a todos", "a todos, bienvenidos", "bienvenidos", (60, "bienvenidos"), "  ", (63, "otra cosa")])).orderBy("cue_index").collect()
     assert [(r.cue_index, r.text) for r in got] == [(0, "Hola a todos"), (1, "bienvenidos"), (3, "bienvenidos"), (5, "otra cosa")]

@@ -13,8 +13,9 @@ from ..functions import text as T
 
 RUN = r"[\p{L}\p{N}_.-]+"
 
-# Shapes of names that may be a tool's, in the order that equal counts go by.
-SHAPES = (r"\b[a-zA-Z][a-zA-Z0-9]*(?:[.-][a-zA-Z0-9]+)+\b", r"\b[A-Z]{2,8}\b", r"\b[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+\b")
+# Shapes of names that may be a tool's, in the order that equal counts go by. Their edges are those of
+# words in any script, written out because \b means ASCII words in some Java versions.
+SHAPES = tuple(rf"(?<![\p{{L}}\p{{N}}_])(?:{x})(?![\p{{L}}\p{{N}}_])" for x in (r"[a-zA-Z][a-zA-Z0-9]*(?:[.-][a-zA-Z0-9]+)+", r"[A-Z]{2,8}", r"[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+"))
 
 
 def catalog_aliases(catalog: DataFrame) -> DataFrame:

@@ -161,6 +161,13 @@ def unknown_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return tools.unknown_tools(rows, ["source"], "text", table(spark, sf, "tools"), limit=2**31 - 1, order="doc_id").drop("rank")
 
 
+@query()
+def unknown_candidates_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As unknown_candidates, over every document: its SQL holds texts in ASCII alone, for DuckDB's word edges are ASCII's."""
+    rows = table(spark, sf, "documents").where("source is not null").select(F.lower(F.trim("source")).alias("source"), "text", "doc_id")
+    return tools.unknown_tools(rows, ["source"], "text", table(spark, sf, "tools"), limit=2**31 - 1, order="doc_id").drop("rank")
+
+
 @query("""
 WITH t AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 // 300 * 300 AS bucket, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events),
 g AS (SELECT *, sum(CASE WHEN p IS NOT DISTINCT FROM bucket THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY o) AS chunk FROM (SELECT *, lag(bucket) OVER (PARTITION BY user_id ORDER BY o) AS p FROM t))
