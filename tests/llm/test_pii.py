@@ -97,3 +97,24 @@ def test_round_trip_over_the_tables(spark, sf_dir):
         for s in spans.get(r.doc_id, []):
             t = t.replace(f"[{s.kind.upper()}]", s.value, 1)
         assert t == texts[r.doc_id]
+
+
+def test_a_name_that_stands_often_is_no_common_word(spark):
+    """A person in every third text, not in the list, keeps their names; copies and quotes make no word common."""
+    words = ["the pump is on", "the lamp is off", "the door is open", "the roof is wet", "the wall is dry", "the tank is full"]
+    texts = [f"{words[k % 6]} since day {'abcdefghij'[k % 10]}{'klmnopq'[k % 7]}" + ("\n--\nVlimpax Drogunel" if k % 3 == 0 else f"\n-- \nAna {'Xyzbcdfgh'[k % 9]}emu" if k % 7 == 1 else "") for k in range(210)]
+    texts += ["Ask for Torfin Melgrud at the counter", *["> Ask for Torfin Melgrud at the counter"] * 5, *["Ask for Torfin Melgrud at the counter"] * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    common = P.common_words(df)
+    assert {"the", "is", "since"} <= common and not {"vlimpax", "drogunel", "torfin", "melgrud"} & common
+    names = spark.createDataFrame([("Ana", "given"), ("Kubra", "family")], "name string, name_part string")
+    got = [(r.doc_id, r.value) for r in P.personal_spans(df, names).where("kind = 'name'").collect()]
+    assert {d for d, v in got if v == "Vlimpax Drogunel"} == set(range(0, 210, 3))
+    assert {d for d, v in got if v == "Torfin Melgrud"} == set(range(210, 221))
+
+
+def test_a_common_word_is_a_vote():
+    usual = P.Known(KNOWN.given, KNOWN.family, COMMON | {"rose"})
+    (span,) = [s for s in P.propose("My name is Rose Kubra.", usual) if s.start == 11]
+    assert span.kind == "name" and span.usual == 1
+    assert found("Contact Ana Kubra") == [("name", "Ana Kubra")]

@@ -12,20 +12,24 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Shipped, bounded_rows
+from ..session import Shipped, bounded_rows, cut
 
 #: Documents, by hash, that labelers and classifier are fitted on, and the characters that one of these may have;
 #: names the gazetteer may hold; features by hash.
 SAMPLE, LONGEST, MOST_NAMES, WIDTH = 10_000, 20_000, 100_000, 1 << 14
 #: A word is common from this share of documents on, or half of it if it's mostly in lower case; at most MOST_WORDS are kept, by frequency.
 COMMON, MOST_WORDS = 0.004, 200_000
+#: Share of its texts from which on a word that stands where a name is due is a name's and not common.
+NAMED = 0.5
+#: What the log odds of a name lose by each of its words that is common: the surest that a labeler may be.
+AGAINST_COMMON = float(np.log(0.99 / 0.01))
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 
@@ -110,6 +114,7 @@ class Span:
     end: int
     votes: tuple[int, ...]
     features: tuple[int, ...]
+    usual: int = 0  # a name's words that are common: as many votes against it
 
 
 def _near(words: str, text: str) -> bool:
@@ -143,6 +148,17 @@ def _span(kind: str, text: str, a: int, b: int, votes: list[int]) -> Span:
     return Span(kind, a, b, tuple(votes), _features(kind, text, a, b, tuple(votes)))
 
 
+def _due(text: str, m: re.Match) -> tuple[bool, bool, bool]:
+    """Whether a name is due where m is: alone, for nothing but marks is on its line, whose ends are looked for
+    nearby; before words that follow a name; after words that lead to one."""
+    start = max(text.rfind("\n", max(0, m.start() - LINE), m.start()) + 1, m.start() - LINE, 0)
+    stop = text.find("\n", m.end(), m.end() + LINE)
+    stop = min(m.end() + LINE, len(text)) if stop < 0 else stop
+    alone = not MARKS.sub("", text[start : m.start()] + text[m.end() : stop])
+    after = AFTER_NAME_NEAR.match(text[m.end() : m.end() + 40].lower())
+    return alone, bool(after), bool(FOR_NEAR["name"].search(text[max(start, m.start() - 24) : m.start()].lower()))
+
+
 def propose(text: str, known: Known) -> list[Span]:
     """Every span that may be personal, with the labelers' votes: the first two are by words before it."""
     out = []
@@ -175,24 +191,20 @@ def propose(text: str, known: Known) -> list[Span]:
         listed = [w for w in (first, second, third) if w and (w in g or w in f)]
         strange = [w for w in (first, second, third) if w and w not in known.common and w not in g and w not in f]
         upper = [w[:1].isupper() for w in (m[1], m[3])]
-        if first in known.common or second in known.common and second not in g | f:
-            continue
+        usual = (first in known.common) + (second in known.common and second not in g and second not in f)
         both = (first in g and second in f) or (first in f and second in g)
         same = (m[1].isupper() == m[3].isupper()) and upper[0] == upper[1]
-        # Alone: nothing but marks on its line, whose ends are looked for nearby.
-        start = max(text.rfind("\n", max(0, m.start() - LINE), m.start()) + 1, m.start() - LINE, 0)
-        stop = text.find("\n", m.end(), m.end() + LINE)
-        stop = min(m.end() + LINE, len(text)) if stop < 0 else stop
-        alone = not MARKS.sub("", text[start : m.start()] + text[m.end() : stop])
-        tail = text[m.end() : m.end() + 40].lower()
-        # Unknown words in lower case are taken for a name only where a name is due.
-        if not listed and not all(upper) and not (not any(upper) and (alone or AFTER_NAME_NEAR.match(tail) or FOR_NEAR["name"].search(text[max(start, m.start() - 24) : m.start()].lower()))):
+        alone, after, due = _due(text, m)
+        if usual and due:  # what leads to a name stands in the same sentence
+            due = not any(c in ".!?" for c in text[max(0, m.start() - 24) : m.start()].rstrip())
+        # Common words, and unknown ones in lower case, are taken for a name only where a name is due.
+        if not (alone or after or due) and (usual or not listed and not all(upper)) or not usual and not listed and any(upper) and not all(upper):
             continue
         votes = [
-            1 if both else -1 if first in g and second in g and not third else 0, 1 if len(listed) >= 1 and len(listed) + len(strange) >= 2 else 0, 1 if alone else 0, 1 if AFTER_NAME_NEAR.match(tail) else 0,
+            1 if both else -1 if first in g and second in g and not third else 0, 1 if len(listed) >= 1 and len(listed) + len(strange) >= 2 else 0, 1 if alone else 0, 1 if after else 0,
             -1 if PRODUCT.match(text[m.end() : m.end() + 20]) else 0, -1 if comma and first in g and second not in g else 0, 0 if same else -1,
         ]
-        out.append(_span("name", text, m.start(), m.end(), votes))
+        out.append(replace(_span("name", text, m.start(), m.end(), votes), usual=usual))
     return out
 
 
@@ -239,17 +251,18 @@ class Model:
     reliability: dict[str, list[float]]
 
     def find(self, text: str | None) -> list[tuple[str, int, int]]:
-        """(kind, start, end) of the spans of a text, none overlapping; the surer kind, then the longer span wins."""
+        """(kind, start, end) of the spans of a text, none overlapping; the surer kind, then the one of fewer common words, then
+        the longer span wins."""
         if not text:
             return []
-        kept: list[tuple[int, int, int, int]] = []
+        kept: list[tuple[int, int, int, int, int]] = []
         for s in propose(text, self.known):
-            z = self.weights[s.kind][list(s.features)].sum() if s.kind in self.weights else float(sum(s.votes)) - 0.5
+            z = self.weights[s.kind][list(s.features)].sum() - s.usual * AGAINST_COMMON if s.kind in self.weights else float(sum(s.votes)) - s.usual - 0.5
             if z > 0:
-                kept.append((KINDS.index(s.kind), -(s.end - s.start), s.start, s.end))
+                kept.append((KINDS.index(s.kind), s.usual, -(s.end - s.start), s.start, s.end))
         out: list[tuple[str, int, int]] = []
         taken = np.zeros(len(text) + 1, bool)
-        for k, _, a, b in sorted(kept):
+        for k, _, _, a, b in sorted(kept):
             if not taken[a:b].any():
                 taken[a:b] = True
                 out.append((KINDS[k], a, b))
@@ -271,7 +284,9 @@ def fit(texts: list[str], known: Known) -> Model:
         for s in propose(t, known):
             spans[s.kind].append(s)
     weights, reliability = {}, {}
-    for kind, found in spans.items():
+    for kind, each in spans.items():
+        # Pairs with common words are so many that EM would take them for one of the two classes.
+        found = [s for s in each if not s.usual]
         if len(found) >= 20:
             post, right, _ = em(np.array([s.votes for s in found]))
             weights[kind] = logistic([s.features for s in found], post)
@@ -282,26 +297,57 @@ def fit(texts: list[str], known: Known) -> Model:
 PLAIN_WORD = re.compile(r"(?<![\w.+@\-])[^\W\d_]{2,}(?![\w@+]|\.[^\W\d_])")
 
 
-def common_words(documents: DataFrame) -> set[str]:
-    """Words of the language rather than names: by the share of all documents that have them, and of their
-    uses that are in lower case. The list is bounded by MOST_WORDS."""
-    n = documents.where("text is not null").count()
+# What a post repeats of others: quoted lines and blocks.
+QUOTES = r"(?im)^[ \t]*(?:>|&gt;).*$|(?s:<blockquote>.{0,20000}?</blockquote>|\[quote[^\[\]]{0,80}\].{0,20000}?\[/quote\])"
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Documents per word are added up batch by batch, so that no document's words are shuffled.
-        for f in frames:
-            total: Counter = Counter()
-            low: Counter = Counter()
-            for t in f["text"]:
-                words = set(PLAIN_WORD.findall(t))
-                total.update({w.lower() for w in words})
-                low.update({w for w in words if w == w.lower()})
-            yield pd.DataFrame({"w": list(total), "n": list(total.values()), "low": [low[w] for w in total]})
-
-    counted = documents.where("text is not null").select("text").mapInPandas(count, "w string, n bigint, low bigint")
-    df = counted.groupBy("w").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
-    least = max(3.0, COMMON * n)
-    keep = df.where((F.col("n") >= least) | ((F.col("n") >= max(3.0, least / 2)) & (F.col("low") >= 0.6 * F.col("n"))))
+
+def named_pairs(text: str) -> set[tuple[str, str]]:
+    """Pairs of capitalised words that stand where a full name is due, in lower case."""
+    out, at = set(), 0
+    while m := NAME.search(text, at):
+        at = m.end(1)
+        if m[1][0].isupper() and m[3][0].isupper() and any(_due(text, m)):
+            out.add((m[1].lower(), m[3].lower()))
+    return out
+
+
+def common_words(documents: DataFrame) -> set[str]:
+    """Words of the language rather than names: by the share of all documents that have them, and of their uses that
+    are in lower case. However often a word is there, it's a name's if of the different texts that have it, without what
+    they quote, few have it in lower case and most have it as the second word where a full name is due, or as the first
+    with one same word after it. The list is bounded by MOST_WORDS."""
+    texts = documents.where("text is not null").select("text")
+
+    def count(named: bool):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # Documents per word are added up batch by batch, so that no document's words are shuffled; at "" stands how
+            # many there are. What is counted is a word, with `next` "", or a pair where a name is due.
+            for f in frames:
+                total: Counter = Counter({("", ""): len(f)})
+                low: Counter = Counter()
+                for t in f["text"]:
+                    words = set(PLAIN_WORD.findall(t))
+                    total.update({(w.lower(), "") for w in words})
+                    total.update(named_pairs(t) if named else ())
+                    low.update({(w, "") for w in words if w == w.lower()})
+                yield pd.DataFrame({"w": [w for w, _ in total], "next": [x for _, x in total], "n": list(total.values()), "low": [low[w] for w in total]})
+
+        return run
+
+    def counted(rows: DataFrame, named: bool) -> DataFrame:
+        each = rows.mapInPandas(count(named), "w string, next string, n bigint, low bigint")
+        return cut(each.groupBy("w", "next").agg(F.sum("n").alias("n"), F.sum("low").alias("low")))
+
+    df = counted(texts, False)
+    least = max(3.0, COMMON * sum(r.n for r in df.where("w = ''").collect()))
+    df = df.where((F.col("w") != "") & (F.col("n") >= max(3.0, least / 2))).select("w", "n", "low")
+    own = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", QUOTES, " "), r"\d+", "0"), r"[ \t]+", " ")
+    once = counted(texts.select(own.alias("text")).distinct(), True)  # copies that differ in numbers count once
+    pairs = once.where("next <> ''")
+    first, second = pairs.groupBy("w").agg(F.max("n").alias("first")), pairs.groupBy(F.col("next").alias("w")).agg(F.sum("n").alias("second"))
+    most = F.greatest(F.coalesce("first", F.lit(0)), F.coalesce("second", F.lit(0)))
+    names = once.where("next = ''").join(first, "w", "left").join(second, "w", "left").where((F.col("low") < (1 - NAMED) * F.col("n")) & (most >= NAMED * F.col("n")))
+    keep = df.where(F.col("n") >= least).join(names.select("w"), "w", "left_anti").unionByName(df.where((F.col("n") < least) & (F.col("low") >= 0.6 * F.col("n"))))
     return {r.w for r in keep.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()}
 
 
