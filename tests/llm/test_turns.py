@@ -55,6 +55,21 @@ def test_edges(spark):
     assert got == {"a": (1, 1, 1, 1, "hi"), "c": (1, 1, None, 2, ""), "d": (1, 1, 2, 1, "word ")}
 
 
+def test_initials_alone_name_a_speaker(spark):
+    """D.S. may be Dora Sand or, reversed, Sven Dahl; nobody of them is named otherwise."""
+    people = [(1, "Dora", "Sand", None), (2, "Sven", "Dahl", None), (3, "Paul", "Egger", None)]
+    who = spark.createDataFrame([(*p, "x") for p in people], WHO)
+
+    def starts(*texts):
+        cues = spark.createDataFrame([("v", i, f"00:{i:02d}", t, "x", 1) for i, t in enumerate(texts)], CUE)
+        return [(r.i, r.speaker_id) for r in T.turn_starts(cues, who, seconds(F.col("ts"))).orderBy("i", "k").collect()]
+
+    assert T.Names(people).match("D.S.") == [(1, 0.9), (2, pytest.approx(0.7))]
+    assert starts("Paul: a", "D.S.: b", "Paul: c") == [(0, 3), (1, 1), (2, 3)]
+    assert starts("D.S.: a", "b", "Paul: c") == [(0, 1), (2, 3)]
+    assert starts("Sven: a", "Paul: b", "D.S.: c") == [(0, 2), (1, 3), (2, 2)]  # another label says who is there
+
+
 def test_found_labels_in_the_tables(spark, sf_dir):
     """Turns of all videos against a plain pass over each video."""
     cues = spark.read.parquet(f"{sf_dir}/cues.parquet")

@@ -74,15 +74,16 @@ class Names:
 
     def __init__(self, rows: list[tuple]):
         self.exact: dict[str, set[int]] = {}
-        self.initials: dict[str, set[int]] = {}
+        self.initials: dict[str, dict[int, float]] = {}
         for who, given, family, nick in rows:
             g, f, n = (plain(x or "") for x in (given, family, nick))
             for x in (g, f, n, f"{g} {f}" if g and f else "", f"{f} {g}" if g and f else ""):
                 if x:
                     self.exact.setdefault(x, set()).add(who)
             if g and f:
-                for x in (g[0] + f[0], f[0] + g[0]):
-                    self.initials.setdefault(x, set()).add(who)
+                for x, score in ((g[0] + f[0], 0.9), (f[0] + g[0], 0.7)):  # family names first are rarer
+                    at = self.initials.setdefault(x, {})
+                    at[who] = max(score, at.get(who, 0.0))
                 for x in (f"{g[0]} {f}", f"{g} {f[0]}", f"{f} {g[0]}"):
                     self.exact.setdefault(x, set()).add(who)
         self.known: dict[tuple[str, int], list[tuple[int, float]]] = {}
@@ -101,7 +102,7 @@ class Names:
             return [(w, 1.0) for w in sorted(self.exact[name])]
         short = name.replace(" ", "")
         if len(short) == 2 and re.fullmatch(r"[^\W\d_]\.?\s?[^\W\d_]\.?", label) and label.upper() == label:
-            return [(w, 0.9) for w in sorted(self.initials.get(short, ()))]
+            return sorted(self.initials.get(short, {}).items())
         limit = min(most, 1 if len(name) <= 4 else 2)
         found: dict[int, int] = {}
         if len(name) >= 4 and limit:
@@ -290,10 +291,18 @@ def turn_places(cues: DataFrame, second: Column, names: Names, block: int = BLOC
 
 
 def voices(events: DataFrame) -> DataFrame:
-    """(id, speakers): those of each video whom a label names and nobody else; most named first. A label that
-    may mean several is left to the model, which chooses among these."""
-    one = events.where("size(who) = 1").select("id", F.col("who")[0].alias("w"), F.col("score")[0].alias("v"))
+    """(id, speakers): those of each video whom a label names and nobody else, and of a label that may mean several, none
+    of whom is named otherwise, the one it fits best; most named first. Which of the speakers another label means is
+    left to the model."""
+    labels = events.where("size(who) > 0").groupBy("id", "who", "score").agg(F.count("*").alias("n"))
+    one = labels.where("size(who) = 1").select("id", F.col("who")[0].alias("w"), (F.col("score")[0] * F.col("n")).alias("v"))
     each = one.groupBy("id", "w").agg(F.round(F.sum("v"), 3).alias("v"))  # at most a row per speaker and video
+    named = each.groupBy("id").agg(F.collect_set("w").alias("named"))
+    several = labels.where("size(who) > 1").join(named, "id", "left").where("named is null or not arrays_overlap(who, named)")
+    fits = F.filter(F.arrays_zip("who", "score"), lambda x: x["score"] == F.array_max("score"))
+    # Who fits equally well is admitted if no other does better: two that nothing tells apart name nobody.
+    best = several.withColumn("fits", fits).where("size(fits) = 1").select("id", F.col("fits")[0]["who"].alias("w"), (F.col("fits")[0]["score"] * F.col("n")).alias("v"))
+    each = each.unionByName(best.groupBy("id", "w").agg(F.round(F.sum("v"), 3).alias("v")))
     return each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), "w"))), lambda x: x["w"]).alias("speakers"))
 
 
