@@ -1,29 +1,35 @@
 """Personal information inside free text: found by weak supervision, replaced by typed placeholders.
 
 Wide patterns propose spans. Several labelers (formats, a gazetteer, words around the span, corpus
-counts) vote on each for, against or not at all; expectation-maximisation over a bounded sample of
-documents estimates how reliable each is and what each span probably is; a logistic span classifier
-is trained on these probabilities from the votes and the span's shape and surroundings, and decides.
+counts) vote on each for, against or not at all; expectation-maximisation over the votes on all documents
+estimates how reliable each is and what each span probably is; a logistic span classifier is trained
+on these probabilities from the votes and the span's shape and surroundings, and decides.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import Shipped, bounded_rows, cut
 
-#: Documents, by hash, that labelers and classifier are fitted on, and the characters that one of these may have;
-#: names the gazetteer may hold; features by hash.
-SAMPLE, LONGEST, MOST_NAMES, WIDTH = 10_000, 20_000, 100_000, 1 << 14
+#: Different spans of each kind, by hash, that the classifier is trained on; a kind of which fewer than LEAST were proposed in
+#: all documents has no classifier and goes by the sum of its votes; names the gazetteer may hold; features by hash.
+SAMPLE, LEAST, MOST_NAMES, WIDTH = 20_000, 20, 100_000, 1 << 14
+#: Copies of a span that training counts at most: spam sent again and again teaches no more than that.
+COPIES = 8
 #: A word is common from this share of documents on, or half of it if it's mostly in lower case; at most MOST_WORDS are kept, by frequency.
 COMMON, MOST_WORDS = 0.004, 200_000
 #: Share of its texts from which on a word that stands where a name is due is a name's and not common.
@@ -93,11 +99,29 @@ AGAINST = {
     "name": "best|team|thanks|günstig|jetzt|sent from|the|mehr|comprar|compra|mejores|melhores",
 }
 MARKS = re.compile(r"&gt;|<[^<>]*>|\[[^\[\]]*\]|[\s>»*_~|.!\-]")
+# What of MARKS is a single character, what else may end and begin one of them.
+SKIPPED, ENDS_MARK, BEGINS_MARK = set(" >»*_~|.!-"), set("\n>];"), set("\n&<[")
 #: Characters of its line that are looked at on each side of a name.
 LINE = 240
 PRODUCT = re.compile(r"\s*(?:pump|pills|v\d|phone|since|edition|degrees|günstig|kaufen|\+|said|wrote|schrieb|escribió|escreveu|cloud|ha scritto|a écrit|dijo)", re.I)
 
 
+@dataclass(frozen=True)
+class Word:
+    """What is known of a word as it is written."""
+
+    low: str
+    common: bool
+    given: bool
+    family: bool
+    upper: bool
+    capitals: bool
+
+    @property
+    def listed(self) -> bool:
+        return self.given or self.family
+
+
 @dataclass
 class Known:
     """What the labelers look words up in."""
@@ -105,6 +129,17 @@ class Known:
     given: set[str]
     family: set[str]
     common: set[str]
+    seen: dict[str, Word] = field(default_factory=dict, repr=False, compare=False)
+
+    def word(self, w: str) -> Word:
+        low = w.lower()
+        got = Word(low, low in self.common, low in self.given, low in self.family, w[:1].isupper(), w.isupper())
+        if len(self.seen) < MOST_WORDS:
+            self.seen[w] = got
+        return got
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
 
 
 @dataclass
@@ -117,13 +152,9 @@ class Span:
     usual: int = 0  # a name's words that are common: as many votes against it
 
 
-def _near(words: str, text: str) -> bool:
-    return bool(re.search(rf"(?<!\w)(?:{words})", text))
-
-
 AGAINST_NEAR = {k: re.compile(rf"(?<!\w)(?:{v})[\s#:.\w]{{0,4}}$") for k, v in AGAINST.items()}
 FOR_NEAR = {k: re.compile(rf"(?<!\w)(?:{v})") for k, v in FOR.items()}
-AFTER_NAME_NEAR = re.compile(rf"^[\s,]*(?:{AFTER_NAME})")
+AFTER_NAME_NEAR, FOR_NAME = re.compile(AFTER_NAME), re.compile(FOR["name"])
 ID_WHOLE = [re.compile(p.pattern + r"\Z") for p in ID_FORMATS]
 PHONE_WHOLE = [re.compile(p.pattern + r"\Z") for p in PHONE_FORMATS]
 DATE = re.compile(r"\d{1,2}\.\d{1,2}\.\d{2,4}(?:\s.*)?\Z|\d{1,3}(?:\.\d{1,3}){3}\Z|\d{4}-\d{2}-\d{2}|(?:19|20)\d{6}\Z")
@@ -148,20 +179,71 @@ def _span(kind: str, text: str, a: int, b: int, votes: list[int]) -> Span:
     return Span(kind, a, b, tuple(votes), _features(kind, text, a, b, tuple(votes)))
 
 
-def _due(text: str, m: re.Match) -> tuple[bool, bool, bool]:
-    """Whether a name is due where m is: alone, for nothing but marks is on its line, whose ends are looked for
-    nearby; before words that follow a name; after words that lead to one."""
-    start = max(text.rfind("\n", max(0, m.start() - LINE), m.start()) + 1, m.start() - LINE, 0)
-    stop = text.find("\n", m.end(), m.end() + LINE)
-    stop = min(m.end() + LINE, len(text)) if stop < 0 else stop
-    alone = not MARKS.sub("", text[start : m.start()] + text[m.end() : stop])
-    after = AFTER_NAME_NEAR.match(text[m.end() : m.end() + 40].lower())
-    return alone, bool(after), bool(FOR_NEAR["name"].search(text[max(start, m.start() - 24) : m.start()].lower()))
+class Due:
+    """Where in a text a full name is due: alone, for nothing but marks is on its line, whose ends are looked for nearby;
+    before words that follow a name; after words that lead to one. Those words are looked up once for all pairs."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def low(self) -> str:
+        low = self.text.lower()
+        return low if len(low) == len(self.text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in self.text)
+
+    @cached_property
+    def leads(self) -> list[tuple[int, int]]:
+        low = self.low
+        return [m.span() for m in FOR_NAME.finditer(low) if not (m.start() and (low[m.start() - 1].isalnum() or low[m.start() - 1] == "_"))]
+
+    @cached_property
+    def ends(self) -> list[int]:
+        return [b for _, b in self.leads]
+
+    @cached_property
+    def follow(self) -> set[int]:
+        return {m.start() for m in AFTER_NAME_NEAR.finditer(self.low)}
+
+    def alone(self, a: int, b: int) -> bool:
+        text = self.text
+        k = a - 1
+        while k >= 0 and text[k] in SKIPPED:
+            k -= 1
+        if k >= 0 and text[k] not in ENDS_MARK and not text[k].isspace():
+            return False
+        k = b
+        while k < len(text) and text[k] in SKIPPED:
+            k += 1
+        if k < len(text) and text[k] not in BEGINS_MARK and not text[k].isspace():
+            return False
+        start = max(text.rfind("\n", max(0, a - LINE), a) + 1, a - LINE, 0)
+        stop = text.find("\n", b, b + LINE)
+        stop = min(b + LINE, len(text)) if stop < 0 else stop
+        return not MARKS.sub("", text[start:a] + text[b:stop])
+
+    def after(self, b: int) -> bool:
+        if not self.follow:
+            return False
+        text = self.text
+        while b < len(text) and (text[b] == "," or text[b].isspace()):
+            b += 1
+        return b in self.follow
+
+    def led(self, a: int, whole: bool) -> bool:
+        """Whether words on the same line lead to what begins at a; whole asks for the same sentence."""
+        k = bisect_right(self.ends, a) - 1
+        if k < 0 or self.leads[k][0] < a - 24 or "\n" in self.text[self.ends[k] : a]:
+            return False
+        return not whole or not any(c in ".!?" for c in self.text[max(0, a - 24) : a].rstrip())
+
+    def any(self, a: int, b: int) -> bool:
+        return self.alone(a, b) or self.led(a, False) or self.after(b)
 
 
 def propose(text: str, known: Known) -> list[Span]:
     """Every span that may be personal, with the labelers' votes: the first two are by words before it."""
     out = []
+    digits = any(map(text.__contains__, "0123456789"))
     for m in EMAIL.finditer(text):
         v = m[0]
         sign = "@" in v or "&" in v
@@ -169,49 +251,52 @@ def propose(text: str, known: Known) -> list[Span]:
         local = re.split(r"[@&\[({<\s]", v)[0].lower()
         prose = not sign and not bracket and local in known.common
         out.append(_span("email", text, m.start(), m.end(), [1 if sign else 0, 1 if bracket else 0, -1 if prose else 0, 1 if re.search(r"[._+\-\d]", local) else 0, 1 if re.search(r"(?:example|invalid|test|localhost|com|org|net|de|fr|es|it|pt|uk|info)\Z", v, re.I) else -1]))
-    for m in ID.finditer(text):
+    for m in ID.finditer(text) if digits else ():
         out.append(_span("id_number", text, m.start(), m.end(), [1 if any(p.match(m[0]) for p in ID_WHOLE) else -1, 1 if re.search("[A-Z]", m[0]) else 0, -1 if DATE.match(m[0]) else 0]))
-    for m in PHONE.finditer(text):
+    for m in PHONE.finditer(text) if digits else ():
         v = m[0]
         n = sum(c.isdigit() for c in v)
         if not 7 <= n <= 15 or v.count("(") != v.count(")"):
             continue
         known_form = any(p.match(v) for p in PHONE_WHOLE)
         out.append(_span("phone", text, m.start(), m.end(), [1 if known_form else -1, 1 if v[0] == "+" else 0, -1 if DATE.match(v) else 0, -1 if any(p.match(v) for p in ID_WHOLE) else 0, -1 if text[m.start() - 1 : m.start()] in ("#", "x") else 0]))
-    for m in ADDRESS.finditer(text):
+    for m in ADDRESS.finditer(text) if digits else ():
         words = re.findall(r"[^\W\d_]{3,}", m[0].lower())
         common = sum(w in known.common for w in words)
         out.append(_span("address", text, m.start(), m.end(), [1 if re.search(r"\d{4,5}", m[0]) else 0, 1 if common <= 1 + len(words) // 3 else -1, 1 if re.search(r"[A-ZÀ-Þ]", m[0]) else 0]))
-    at = 0
+    places, seen, at = Due(text), known.seen, 0
     while m := NAME.search(text, at):
-        at = m.end(1)  # the second token may begin a name of its own
-        first, second, third = m[1].lower(), m[3].lower(), (m[4] or "").lstrip("-").lower()
-        comma = "," in m[2]
-        g, f = known.given, known.family
-        listed = [w for w in (first, second, third) if w and (w in g or w in f)]
-        strange = [w for w in (first, second, third) if w and w not in known.common and w not in g and w not in f]
-        upper = [w[:1].isupper() for w in (m[1], m[3])]
-        usual = (first in known.common) + (second in known.common and second not in g and second not in f)
-        both = (first in g and second in f) or (first in f and second in g)
-        same = (m[1].isupper() == m[3].isupper()) and upper[0] == upper[1]
-        alone, after, due = _due(text, m)
-        if usual and due:  # what leads to a name stands in the same sentence
-            due = not any(c in ".!?" for c in text[max(0, m.start() - 24) : m.start()].rstrip())
+        one, two, tail = m.group(1, 3, 4)
+        a, at = m.start(), m.end(1)  # the second token may begin a name of its own
+        x, y = seen.get(one) or known.word(one), seen.get(two) or known.word(two)
+        z = known.word(tail[1:]) if tail else None
+        usual = x.common + (y.common and not y.listed)
+        listed = x.listed or y.listed or bool(z and z.listed)
+        if not usual and not listed and x.upper != y.upper:
+            continue
+        b = m.end()
+        due = places.led(a, bool(usual))  # what leads to a common word stands in the same sentence
+        after, alone = places.after(b), places.alone(a, b)
         # Common words, and unknown ones in lower case, are taken for a name only where a name is due.
-        if not (alone or after or due) and (usual or not listed and not all(upper)) or not usual and not listed and any(upper) and not all(upper):
+        if not (alone or after or due) and (usual or not listed and not (x.upper and y.upper)):
             continue
+        words = [w for w in (x, y, z) if w]
+        n_listed, n_strange = sum(w.listed for w in words), sum(not w.listed and not w.common for w in words)
+        both = (x.given and y.family) or (x.family and y.given)
+        same = x.capitals == y.capitals and x.upper == y.upper
         votes = [
-            1 if both else -1 if first in g and second in g and not third else 0, 1 if len(listed) >= 1 and len(listed) + len(strange) >= 2 else 0, 1 if alone else 0, 1 if after else 0,
-            -1 if PRODUCT.match(text[m.end() : m.end() + 20]) else 0, -1 if comma and first in g and second not in g else 0, 0 if same else -1,
+            1 if both else -1 if x.given and y.given and not z else 0, 1 if n_listed >= 1 and n_listed + n_strange >= 2 else 0, 1 if alone else 0, 1 if after else 0,
+            -1 if PRODUCT.match(text[b : b + 20]) else 0, -1 if "," in m[2] and x.given and not y.given else 0, 0 if same else -1,
         ]
-        out.append(replace(_span("name", text, m.start(), m.end(), votes), usual=usual))
+        out.append(replace(_span("name", text, a, b, votes), usual=usual))
     return out
 
 
-def em(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of each span, chance that each labeler's votes are right, prior) where labelers vote 1 or -1
-    independently and 0, no vote, says nothing. No labeler is taken to be wrong more often than not."""
+def em(votes: np.ndarray, times: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
+    """(posterior of each vector of votes, chance that each labeler's votes are right, prior), where vector k was seen times[k]
+    times, labelers vote 1 or -1 independently and 0, no vote, says nothing. No labeler is taken to be wrong more often than not."""
     n, k = votes.shape
+    times = np.ones(n) if times is None else times
     right, prior = np.full(k, 0.75), 0.5
     post = np.full(n, 0.5)
     for _ in range(rounds):
@@ -221,9 +306,9 @@ def em(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, flo
         post = new
         if moved < 1e-6:
             break
-        prior = float(np.clip((post.sum() + 1) / (n + 2), 0.02, 0.98))
-        agree = ((votes > 0) * post[:, None] + (votes < 0) * (1 - post)[:, None]).sum(0)
-        right = np.clip((agree + 3) / ((votes != 0).sum(0) + 4), 0.55, 0.99)
+        prior = float(np.clip(((times * post).sum() + 1) / (times.sum() + 2), 0.02, 0.98))
+        agree = (((votes > 0) * post[:, None] + (votes < 0) * (1 - post)[:, None]) * times[:, None]).sum(0)
+        right = np.clip((agree + 3) / (((votes != 0) * times[:, None]).sum(0) + 4), 0.55, 0.99)
     return post, right, prior
 
 
@@ -250,24 +335,28 @@ class Model:
     weights: dict[str, np.ndarray]
     reliability: dict[str, list[float]]
 
-    def find(self, text: str | None) -> list[tuple[str, int, int]]:
-        """(kind, start, end) of the spans of a text, none overlapping; the surer kind, then the one of fewer common words, then
-        the longer span wins."""
-        if not text:
-            return []
+    def choose(self, spans: Iterable[Span]) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of the spans that are personal, none overlapping; the surer kind, then the one of fewer common words,
+        then the longer span wins."""
         kept: list[tuple[int, int, int, int, int]] = []
-        for s in propose(text, self.known):
+        for s in spans:
             z = self.weights[s.kind][list(s.features)].sum() - s.usual * AGAINST_COMMON if s.kind in self.weights else float(sum(s.votes)) - s.usual - 0.5
             if z > 0:
-                kept.append((KINDS.index(s.kind), s.usual, -(s.end - s.start), s.start, s.end))
+                kept.append((KINDS.index(s.kind), s.usual, s.start - s.end, s.start, s.end))
         out: list[tuple[str, int, int]] = []
-        taken = np.zeros(len(text) + 1, bool)
+        starts: list[int] = []  # of what is taken, in order
+        ends: list[int] = []
         for k, _, _, a, b in sorted(kept):
-            if not taken[a:b].any():
-                taken[a:b] = True
+            at = bisect_right(starts, a)
+            if (at == 0 or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at]):
+                starts.insert(at, a)
+                ends.insert(at, b)
                 out.append((KINDS[k], a, b))
         return sorted(out, key=lambda x: x[1])
 
+    def find(self, text: str | None) -> list[tuple[str, int, int]]:
+        return self.choose(propose(text, self.known)) if text else []
+
     def redact(self, text: str | None) -> str | None:
         if text is None:
             return None
@@ -278,18 +367,55 @@ class Model:
         return "".join(out) + text[at:]
 
 
-def fit(texts: list[str], known: Known) -> Model:
-    spans: dict[str, list[Span]] = {k: [] for k in KINDS}
-    for t in texts:
-        for s in propose(t, known):
-            spans[s.kind].append(s)
+SPAN = "kind string, start int, end int, votes array<int>, features array<int>, usual int, value string"
+SPANS = "array<struct<" + ", ".join(f"{n}: {t}" for n, t in (x.split(" ") for x in SPAN.split(", "))) + ">>"
+
+
+def proposals(documents: DataFrame, known: Known) -> DataFrame:
+    """(doc_id, spans) of each document with a text: what `propose` gives, values included."""
+    sent = Shipped(documents.sparkSession, known)
+    small = pa.list_(pa.int32())
+    kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", small), ("features", small), ("usual", pa.int32()), ("value", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Known = sent.value
+        for batch in batches:
+            rows = [
+                [{"kind": s.kind, "start": s.start, "end": s.end, "votes": s.votes, "features": s.features, "usual": int(s.usual), "value": t[s.start : s.end]} for s in propose(t, known)]
+                for t in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kinds)], names=["doc_id", "spans"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans {SPANS}")
+
+
+def fitted(spans: DataFrame, known: Known) -> Model:
+    """The model of what `proposals` gives. EM works on the vectors of votes with their counts over all documents, whose number
+    is bounded by the labelers; the classifier is trained on at most SAMPLE different spans of each kind, taken by hash."""
+    # Pairs with common words are so many that EM would take them for one of the two classes.
+    each = spans.select(F.explode("spans").alias("s")).select("s.*").where("usual = 0")
+    seen: dict[str, list[tuple[tuple[int, ...], int]]] = {}
+    for r in each.groupBy("kind", "votes").count().collect():
+        seen.setdefault(r.kind, []).append((tuple(r.votes), r["count"]))
+    share = {k: min(1.0, 4.0 * SAMPLE / sum(n for _, n in v)) for k, v in seen.items()}
     weights, reliability = {}, {}
-    for kind, each in spans.items():
-        # Pairs with common words are so many that EM would take them for one of the two classes.
-        found = [s for s in each if not s.usual]
-        if len(found) >= 20:
-            post, right, _ = em(np.array([s.votes for s in found]))
-            weights[kind] = logistic([s.features for s in found], post)
+    if share:
+        limit = F.create_map(*[F.lit(x) for k, p in sorted(share.items()) for x in (k, p)])
+        each = each.select("kind", "votes", "features", F.xxhash64("kind", "value", "features").alias("h"))
+        thin = each.where(F.pmod("h", F.lit(1_000_003)) <= F.try_element_at(limit, F.col("kind")) * 1_000_003).groupBy("kind", "votes", "features", "h").agg(F.least(F.count("*"), F.lit(COPIES)).cast("int").alias("n"))
+        rows = thin.withColumn("k", F.row_number().over(W.partitionBy("kind").orderBy("h", "features", "votes"))).where(F.col("k") <= SAMPLE).collect()
+        sample: dict[str, list] = {}
+        for r in sorted(rows, key=lambda r: (r.kind, r.k)):
+            sample.setdefault(r.kind, []).append(r)
+        for kind, found in sorted(seen.items()):
+            if sum(n for _, n in found) < LEAST:
+                continue
+            found.sort()
+            post, right, _ = em(np.array([v for v, _ in found]), np.array([n for _, n in found], float))
+            truth = dict(zip((v for v, _ in found), post))
+            rows = [r for r in sample[kind] for _ in range(r.n)]
+            weights[kind] = logistic([tuple(r.features) for r in rows], np.array([truth[tuple(r.votes)] for r in rows]))
             reliability[kind] = right.round(3).tolist()
     return Model(known, weights, reliability)
 
@@ -303,11 +429,12 @@ QUOTES = r"(?im)^[ \t]*(?:>|&gt;).*$|(?s:<blockquote>.{0,20000}?</blockquote>|\[
 
 def named_pairs(text: str) -> set[tuple[str, str]]:
     """Pairs of capitalised words that stand where a full name is due, in lower case."""
-    out, at = set(), 0
+    out, at, places = set(), 0, Due(text)
     while m := NAME.search(text, at):
         at = m.end(1)
-        if m[1][0].isupper() and m[3][0].isupper() and any(_due(text, m)):
-            out.add((m[1].lower(), m[3].lower()))
+        one, two = m.group(1, 3)
+        if one[0].isupper() and two[0].isupper() and places.any(m.start(), m.end()):
+            out.add((one.lower(), two.lower()))
     return out
 
 
@@ -351,29 +478,45 @@ def common_words(documents: DataFrame) -> set[str]:
     return {r.w for r in keep.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()}
 
 
-def model_for(documents: DataFrame, names: DataFrame) -> Model:
-    """Fitted on SAMPLE documents by hash; names (name, name_part) is a table of at most MOST_NAMES rows, which is checked."""
+def known_words(documents: DataFrame, names: DataFrame) -> Known:
+    """names (name, name_part) is a table of at most MOST_NAMES rows, which is checked."""
     rows = bounded_rows(names.select(F.lower("name").alias("n"), "name_part").where("name is not null"), MOST_NAMES)
     given, family = ({r.n for r in rows if r.name_part == part} for part in ("given", "family"))
-    known = Known(given, family, common_words(documents) - given - family)
-    texts = [r.text for r in documents.where(F.char_length("text") <= LONGEST).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE).collect()]
-    return fit(texts, known)
+    return Known(given, family, common_words(documents) - given - family)
+
+
+def _proposed(documents: DataFrame, names: DataFrame) -> tuple[DataFrame, Model]:
+    known = known_words(documents, names)
+    spans = cut(proposals(documents, known))
+    return spans, fitted(spans, known)
+
+
+def model_for(documents: DataFrame, names: DataFrame) -> Model:
+    return _proposed(documents, names)[1]
 
 
 def personal_spans(documents: DataFrame, names: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, kind, start, value): every piece found, start counting characters from 0. Texts that are null or
     empty give none; documents that repeat give their pieces each time; an empty table gives an empty
-    result. Other columns are ignored."""
-    sent = Shipped(documents.sparkSession, model or model_for(documents, names))
+    result. Other columns are ignored. Spans are proposed once, for fitting and for the result."""
+    spans, model = _proposed(documents, names) if model is None else (proposals(documents, model.known), model)
+    sent = Shipped(documents.sparkSession, replace(model, known=Known(set(), set(), set())))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        for f in frames:
-            rows = [(d, k, a, t[a:b]) for d, t in zip(f["doc_id"], f["text"]) for k, a, b in m.find(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "value"])
+        for batch in batches:
+            rows: list[tuple] = []
+            at: list[int] = []
+            for k, spans in enumerate(batch.column(1).to_pylist()):
+                value = {(s["start"], s["end"]): s["value"] for s in spans}
+                found = m.choose(Span(s["kind"], s["start"], s["end"], s["votes"], s["features"], s["usual"]) for s in spans)
+                rows += [(kind, a, value[a, b]) for kind, a, b in found]
+                at += [k] * len(found)
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string())))], names=["doc_id", "kind", "start", "value"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.where("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, kind string, start int, value string")
+    return spans.mapInArrow(run, f"doc_id {kind}, kind string, start int, value string")
 
 
 def redacted(documents: DataFrame, names: DataFrame, model: Model | None = None) -> DataFrame:
