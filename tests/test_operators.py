@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.operators import captions, concepts, keywords, library, search, subtitles, tools, units
 from verbatlas.queries import QUERIES, SQL, timed_cues
+from verbatlas.session import cut
 
 CUES = "video_id string, cue_index bigint, second bigint, text string, core int"
 
@@ -49,14 +50,26 @@ def test_rolling_overlap(spark):
     assert [(r.cue_index, r.text) for r in got] == [(0, "Hola a todos"), (1, "bienvenidos"), (3, "bienvenidos"), (5, "otra cosa")]
 
 
-@pytest.mark.parametrize("operator", ["rolling_overlap", "sentence_units"])
-def test_blocks_change_little(spark, sf_dir, operator):
-    """A long video cut into blocks gives what one pass over it gives."""
-    rows = timed_cues(spark, sf_dir)
-    run = captions.without_overlap if operator == "rolling_overlap" else units.sentence_units
-    whole = {(r.video_id, r[1], r.text) for r in run(rows, block=10**9).collect()}
-    cut = {(r.video_id, r[1], r.text) for r in run(rows, block=512).collect()}
-    assert len(whole ^ cut) <= 2 and len(whole) > 100
+def endless(spark):
+    """Cues that keep blocks out of step: captions without punctuation and one index missing, a caption shown again
+    hundreds of times, a few sentences in turns for minutes."""
+    words = [f"w{k} a{k} b{k} c{k} d{k}" for k in range(700)]
+    rows = [("plain", k, 3 * k, t) for k, t in enumerate(words) if k != 11]
+    rows += [("again", 0, 0, "a b c"), *[("again", k, 3 * k, "b c") for k in range(1, 400)], ("again", 400, 1200, "a b c d"), ("again", 401, 1203, "c d e.")]
+    rows += [("turns", k, 4 * k, f"frase número {('uno', 'dos', 'tres')[k % 3]} sobre bombas {('verdes', 'rojas', 'azules')[k % 3]}.") for k in range(300)]
+    return spark.createDataFrame(rows, "video_id string, cue_index int, second int, text string")
+
+
+@pytest.mark.parametrize("operator", ["overlap", "units", "spoken", "windows"])
+def test_blocks_change_nothing(spark, sf_dir, operator):
+    """Long sequences cut into blocks give what one pass over them gives."""
+    every = cut(timed_cues(spark, sf_dir).unionByName(endless(spark)))
+    run = {"overlap": captions.without_overlap, "units": units.sentence_units, "spoken": lambda d, block: units.sentence_units(d, block, overlap=True), "windows": lambda d, block: units.windows(d, block=block)}[operator]
+    few = every.where("cue_index < 60 and video_id > 'n' or video_id in ('again', 'plain') and cue_index < 410")
+    for rows, blocks in ((every, [512]), (few, [2, 3, 7])):
+        rows = cut(units.sentence_units(rows)) if operator == "windows" else rows
+        whole, *parts = (sorted(map(str, run(rows, block=b).collect())) for b in (10**9, *blocks))
+        assert all(p == whole for p in parts) and len(whole) > 50
 
 
 def test_units(spark):

@@ -2,42 +2,28 @@
 
 from __future__ import annotations
 
+import json
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timecode import code
+from .fold import BLOCK, Machine, fold
 
-#: Cues per block of a long video, and how many before it are read only to know what was just said.
-BLOCK, WARM_UP = 4096, 160
 #: Words that a repetition is looked for in, and the pause in seconds that ends all repetition.
 MEMORY, PAUSE = 80, 15
 
 EDGE_MARKS = '.,;:!?¿¡()[]{}"'
 
 
-def by_blocks(cues: DataFrame, run, schema: str, block: int = BLOCK, warm_up: int = WARM_UP, lead: int = 0) -> DataFrame:
-    """Runs `run` (frame of one block in order, with column core) over blocks of each video's cues (video_id, cue_index, ...).
-    The last cues of the block before are there to set its state and the first of the next to finish what
-    it began; what `run` makes of them alone is left out by it."""
-    own, at = F.floor(F.col("cue_index") / F.lit(block)), F.pmod("cue_index", F.lit(block))
-    seen = F.array_compact(F.array(own, F.when(at >= block - warm_up, own + 1), F.when((at < lead) & (own > 0), own - 1)))
-    rows = cues.withColumn("block", F.explode(seen)).withColumn("core", F.col("block") == own)
-
-    def ordered(frame: pd.DataFrame) -> pd.DataFrame:
-        return run(frame.sort_values("cue_index", kind="stable"))
-
-    return rows.groupBy("video_id", "block").applyInPandas(ordered, schema)
-
-
-class Overlap:
+class Overlap(Machine):
     """What was last said in a video, to tell new words of a rolling caption from those shown again."""
 
     def __init__(self) -> None:
         self.said: list[str] = []
         self.at: int | None = None
+        self.last: int | None = None
 
     def new_words(self, second: int, text: str) -> str:
         """The part of text that isn't a repetition; empty if all of it is."""
@@ -55,22 +41,35 @@ class Overlap:
         self.said = (self.said + heard[shared:])[-MEMORY:]
         return " ".join(words[shared:])
 
+    def feed(self, row: tuple) -> list[tuple]:
+        index, second, text = row
+        if index == self.last:
+            return []
+        self.last = index
+        new = self.new_words(second, text)
+        return [(index, second, new)] if new else []
+
+    def state(self) -> str:
+        return json.dumps([self.said, self.at])
+
+    def resume(self, state: str) -> None:
+        self.said, self.at = json.loads(state)
+
+
+def readable(cues: DataFrame) -> DataFrame:
+    """cues (video_id, cue_index, second, text) without rows that lack one of these."""
+    rows = cues.select("video_id", F.col("cue_index").cast("bigint").alias("cue_index"), F.col("second").cast("bigint").alias("second"), "text")
+    return rows.where("video_id is not null and cue_index is not null and second is not null and text is not null")
+
 
 def without_overlap(cues: DataFrame, block: int = BLOCK) -> DataFrame:
     """(video_id, cue_index, second, text): cues reduced to their new words, those without any left out.
 
-    cues: (video_id, cue_index, second, text). Rows without key, second or text are left out; the cue
-    delivered twice repeats itself and goes. A pause of more than 15 s clears what was said.
+    cues: (video_id, cue_index, second, text). Rows without key, second or text are left out; of a cue
+    delivered twice the first by (second, text) counts. A pause of more than 15 s clears what was said. The
+    size of blocks changes nothing.
     """
-    rows = cues.select("video_id", "cue_index", "second", "text").where("video_id is not null and cue_index is not null and second is not null and text is not null")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        state = Overlap()
-        text = [state.new_words(s, t) for s, t in zip(f["second"], f["text"])]
-        f = f.assign(text=text)
-        return f[f["core"] & (f["text"] != "")][["video_id", "cue_index", "second", "text"]]
-
-    return by_blocks(rows, run, "video_id string, cue_index bigint, second bigint, text string", block)
+    return fold(readable(cues), "video_id", "cue_index", ["cue_index", "second", "text"], Overlap, "cue_index bigint, second bigint, text string", block)
 
 
 def chunks(cues: DataFrame, keys: list[str], order: str, second: str, text: str, minutes: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.plain import distinct as distinct_texts
+from ..session import cut
 from .captions import chunks
 from .keywords import keywords
 from .units import UNIT, windows
@@ -20,20 +21,34 @@ def weighed(texts: DataFrame, keys: list[str], at: list[str], words: DataFrame)
     return texts.join(tokens.groupBy(*keys, *at).agg(F.sum("n").alias("weight")), [*keys, *at], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
 
 
-def ideas(units: DataFrame, limit: int = 12) -> DataFrame:
+def ideas(units: DataFrame, limit: int = 12, first: int = 128) -> DataFrame:
     """(video_id, rank, position, part, second, text, fragments): at most `limit` windows a video, best scores first
-    unless nearly the same as one chosen before; rank is by place in the video. units: informative ones."""
+    unless nearly the same as one chosen before; rank is by place in the video. units: informative ones. The `first` best windows of a
+    video are looked at first, more where these hold fewer than `limit` different ones."""
     ordered = units.withColumn("o", F.struct("position", "part"))
     words = keywords(ordered, ["video_id"], "text", 25, order="o")
     packed = weighed(windows(units), ["video_id"], ["position", "part"], words)
     packed = packed.withColumn("score", T.text_score(F.col("text"), F.col("weight"), F.col("position"))).drop("weight")
 
+    best = W.partitionBy("video_id").orderBy(F.desc("score"), "position", "part")
+
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["score", "position", "part"], ascending=[False, True, True])
+        f = f.sort_values("r")
         kept = distinct_texts(f["text"].tolist(), most=limit)
-        return f.iloc[kept].drop(columns="score")
+        short = len(kept) < limit and len(f) == f["upto"].iloc[0]
+        return f.iloc[kept].drop(columns=["r", "upto"]).assign(short=short)
 
-    chosen = packed.groupBy("video_id").applyInPandas(run, UNIT)
+    # The best windows of a video are enough, unless many of them say the same: such a video asks for more.
+    chosen, upto = None, first
+    while True:
+        few = packed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= upto).drop("score").withColumn("upto", F.lit(upto))
+        got = cut(few.groupBy("video_id").applyInPandas(run, f"video_id string, {UNIT}, short boolean"))
+        done = got.where("not short").drop("short")
+        chosen = done if chosen is None else chosen.unionByName(done)
+        asking = got.where("short").select("video_id").distinct()
+        if asking.isEmpty():
+            break
+        packed, upto = packed.join(asking, "video_id", "left_semi"), upto * 16
     return chosen.withColumn("rank", F.row_number().over(W.partitionBy("video_id").orderBy("position", "part")))
 
 

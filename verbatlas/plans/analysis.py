@@ -17,7 +17,7 @@ def analyze(cues: DataFrame, catalog: DataFrame, *, overlap: bool = True) -> dic
     cue_index, second, text); catalog (name, description, category, aliases). Units are made once and kept in the
     shared folder, for all the rest reads them."""
     clean = captions.without_overlap(cues) if overlap else cues
-    base = cut(units.informative(units.sentence_units(clean)))
+    base = cut(units.informative(units.sentence_units(cues, overlap=overlap)))
     placed = base.withColumn("unit", F.struct("position", "part"))
     named = tools.tool_mentions(placed, ["video_id"], "text", catalog, order="unit")
     best = cut(ideas.ideas(base))

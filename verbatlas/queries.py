@@ -337,7 +337,7 @@ def rolling_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def informative_units(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(units.informative(units.sentence_units(captions.without_overlap(timed_cues(spark, sf)))))
+    return cut(units.informative(units.sentence_units(timed_cues(spark, sf), overlap=True)))
 
 
 @query()
