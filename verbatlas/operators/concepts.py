@@ -1,7 +1,7 @@
 """Ranked concepts of one to three words.
 
-n-grams, their counts and scores, and which candidates lie inside others are made set-at-a-time; only
-the greedy choice among a video's ranked candidates is a fold.
+n-grams, their counts and scores are made set-at-a-time; only the greedy choice among a video's best
+candidates is a fold.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions.timecode import code
+from ..plans.barrier import where_computed
 from ..session import cut
 
 TOKEN = r"(?i)[a-záéíóúñüÁÉÍÓÚÑÜ0-9]+(?:[.-][a-záéíóúñüÁÉÍÓÚÑÜ0-9]+)*"
@@ -63,50 +64,73 @@ def possible(stopwords: Iterable[str] = L.STOPWORDS) -> Column:
     return ~_in(first, stopwords) & ~_in(last, stopwords) & ~digits & distinct & F.when(n == 1, one).otherwise(many)
 
 
-def eligible(stopwords: Iterable[str] = L.STOPWORDS) -> Column:
-    """Which of the possible n-grams are concepts by their counts (n, hints). A possible one of several words has
-    content at both ends."""
+#: Bits of what the words of an n-gram alone decide.
+POSSIBLE, CONTENT, LONG, LINKED = 1, 2, 4, 8
+
+
+def traits(stopwords: Iterable[str] = L.STOPWORDS) -> Column:
+    """POSSIBLE: a concept by its words; CONTENT: one word that carries content; LONG: of several words none but stopwords inside is short;
+    LINKED: the middle one of three is a connector. A possible one of several words has content at both ends."""
     w, size = F.col("words"), F.size("words")
-    inner, often = F.try_element_at(w, F.lit(2)), F.col("n") >= 2
+    inner = F.try_element_at(w, F.lit(2))
     long = (F.char_length(F.element_at(w, 1)) >= 4) & (F.char_length(F.element_at(w, -1)) >= 4) & ((size < 3) | _in(inner, stopwords) | (F.char_length(inner) >= 4))
-    many = (often | long) & F.when(size == 3, _in(inner, L.CONNECTORS) | often).otherwise(often | (F.col("hints") > 0))
-    return (size == 1) | many
+    bit = lambda c, n: F.when(c, n).otherwise(0)
+    rest = bit(long, LONG) + bit((size == 3) & _in(inner, L.CONNECTORS), LINKED)
+    return bit(possible(stopwords), POSSIBLE) + bit((size == 1) & ~_in(F.element_at(w, 1), stopwords), CONTENT) + rest
+
+
+def eligible() -> Column:
+    """Which of the possible n-grams are concepts by their counts (n, hints)."""
+    often, size = F.col("n") >= 2, F.col("size")
+    has = lambda n: F.col("traits").bitwiseAND(F.lit(n)) > 0
+    many = (often | has(LONG)) & F.when(size == 3, has(LINKED) | often).otherwise(often | (F.col("hints") > 0))
+    return has(POSSIBLE) & ((size == 1) | many)
 
 
-def scored(units: DataFrame, keys: list[str], stopwords: Iterable[str] = L.STOPWORDS) -> DataFrame:
-    """Eligible n-grams with their scores and rank: keys, name, words, n, frequency, distribution, association (null
-    for one word), score, rank, seconds (different ones, in order). Scores aren't rounded."""
-    grams = ngrams(units, keys)
-    place = F.struct("unit", "i")
-    counted = grams.where(possible(stopwords)).groupBy(*keys, "name", "words").agg(F.count("*").alias("n"), F.sum(F.col("hinted").cast("int")).alias("hints"), F.min("unit").alias("first"), F.array_sort(F.collect_list(F.struct(place.alias("p"), "second"))).alias("places")).where(eligible(stopwords))
-    counted = counted.withColumn("seconds", F.array_distinct(F.transform("places", lambda x: x["second"])))
+def counted(units: DataFrame, keys: list[str], stopwords: Iterable[str] = L.STOPWORDS) -> DataFrame:
+    """What is counted of each key's n-grams in one pass: keys, name, size, n, hints, traits, first (the least unit), spread (of up to five
+    equal parts of the key's time those that have it, as bits) and bins (how many parts there are)."""
     times = units.groupBy(*keys).agg(F.min("second").alias("t0"), F.max("second").alias("t1"), F.least(F.countDistinct("second"), F.lit(5)).cast("bigint").alias("bins"))
-    tokens = grams.where((F.size("words") == 1) & ~_in(F.col("name"), stopwords)).groupBy(*keys, F.col("name").alias("word")).agg(F.count("*").alias("of"))
-    many = counted.where(F.size("words") > 1).select(*keys, "name", F.explode("words").alias("word")).join(tokens, [*keys, "word"]).groupBy(*keys, "name").agg(F.max("of").alias("most"))
-    over = W.partitionBy(*keys)
-    df = counted.join(times, keys).join(many, [*keys, "name"], "left")
-    df = df.withColumn("frequency", F.log1p("n") / F.log1p(F.max("n").over(over)))
-    span = F.col("t1") - F.col("t0") + 1
-    bins = F.array_distinct(F.transform("seconds", lambda s: F.least(F.col("bins") - 1, F.floor((s - F.col("t0")) * F.col("bins") / span))))
-    df = df.withColumn("distribution", F.when((F.col("bins") <= 1) | (F.col("t0") == F.col("t1")), F.lit(1.0)).otherwise(F.size(bins) / F.col("bins")))
-    df = df.withColumn("association", F.col("n") / F.col("most"))
-    multi = F.least(F.lit(1.0), F.lit(0.45) * F.col("frequency") + F.lit(0.25) * F.col("distribution") + F.lit(0.30) * F.col("association") + 0.08)
-    linked = (F.size("words") == 3) & F.try_element_at("words", F.lit(2)).isin(*L.CONNECTORS)
-    score = F.when(F.size("words") == 1, F.lit(0.65) * F.col("frequency") + F.lit(0.35) * F.col("distribution")).otherwise(F.when(linked, F.least(F.lit(1.0), multi + 0.12)).otherwise(multi))
-    rank = F.row_number().over(over.orderBy(F.desc("score"), F.desc("n"), F.desc(F.size("words")), "first", "name"))
-    return df.withColumn("score", score).withColumn("rank", rank).select(*keys, "name", "words", "n", "frequency", "distribution", "association", "score", "rank", "seconds", "places")
+    grams = ngrams(units, keys).select(*keys, "name", "unit", "second", F.size("words").alias("size"), F.col("hinted").cast("int").alias("hinted"), traits(stopwords).alias("traits"))
+    grams = where_computed(grams, F.col("traits").bitwiseAND(F.lit(POSSIBLE | CONTENT)) > 0).join(times, keys)
+    part = F.least(F.col("bins") - 1, F.floor((F.col("second") - F.col("t0")) * F.col("bins") / (F.col("t1") - F.col("t0") + 1))).cast("int")
+    bins = F.when(F.col("t0") == F.col("t1"), F.lit(1)).otherwise(F.col("bins"))
+    rows = grams.select(*keys, "name", "size", "unit", "hinted", "traits", F.call_function("shiftleft", F.lit(1), part).alias("bit"), bins.alias("bins"))
+    return rows.groupBy(*keys, "name").agg(
+        F.max("size").alias("size"), F.count("*").alias("n"), F.sum("hinted").alias("hints"), F.max("traits").alias("traits"), F.min("unit").alias("first"), F.bit_or("bit").alias("spread"), F.max("bins").alias("bins")
+    )
 
 
-def nested(ranked: DataFrame, keys: list[str], share: float = 0.8) -> DataFrame:
-    """(keys, short, long) of candidates where at least `share` of the more frequent one's places hold both, one inside the other."""
-    places = ranked.select(*keys, F.col("name").alias("long"), "words", F.explode("places").alias("x")).where(F.size("words") > 1).select(*keys, "long", "words", "x.p.unit", "x.p.i")
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda a: F.transform(F.sequence(F.lit(1), F.size("words") - a), lambda n: F.struct(a.alias("a"), n.alias("n")))))
-    inner = places.select("*", F.explode(parts).alias("s")).where(F.col("s.n") < F.size("words"))
-    inner = inner.select(*keys, "long", F.array_join(F.slice("words", F.col("s.a") + 1, F.col("s.n")), " ").alias("short"), F.struct("unit", (F.col("i") + F.col("s.a")).alias("i")).alias("p"))
-    held = inner.groupBy(*keys, "short", "long").agg(F.countDistinct("p").alias("held"))
-    n = ranked.select(*keys, "name", "n")
-    both = held.join(n.withColumnsRenamed({"name": "short", "n": "ns"}), [*keys, "short"]).join(n.withColumnsRenamed({"name": "long", "n": "nl"}), [*keys, "long"])
-    return both.where(F.col("held") / F.greatest("ns", "nl") >= share).select(*keys, "short", "long")
+def scored(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates of what `counted` gives with their scores: keys, name, size, n, first, frequency, distribution, association (null
+    for one word) and score. Scores aren't rounded."""
+    found = counts.where(eligible())
+    tokens = counts.where(F.col("traits").bitwiseAND(F.lit(CONTENT)) > 0).select(*keys, F.col("name").alias("word"), F.col("n").alias("of"))
+    many = found.where("size > 1").select(*keys, "name", F.explode(F.split("name", " ")).alias("word")).join(tokens.hint("shuffle_hash"), [*keys, "word"]).groupBy(*keys, "name").agg(F.max("of").alias("most"))
+    top = found.groupBy(*keys).agg(F.max("n").alias("top"))
+    df = found.join(many, [*keys, "name"], "left").join(top, keys)
+    df = df.withColumn("frequency", F.log1p("n") / F.log1p("top"))
+    df = df.withColumn("distribution", F.when(F.col("bins") <= 1, F.lit(1.0)).otherwise(F.bit_count("spread") / F.col("bins")))
+    df = df.withColumn("association", F.col("n") / F.col("most"))
+    multi = F.least(F.lit(1.0), F.lit(0.45) * F.col("frequency") + F.lit(0.25) * F.col("distribution") + F.lit(0.30) * F.col("association") + 0.08)
+    linked = F.col("traits").bitwiseAND(F.lit(LINKED)) > 0
+    score = F.when(F.col("size") == 1, F.lit(0.65) * F.col("frequency") + F.lit(0.35) * F.col("distribution")).otherwise(F.when(linked, F.least(F.lit(1.0), multi + 0.12)).otherwise(multi))
+    return df.select(*keys, "name", "size", "n", "first", "frequency", "distribution", "association", score.alias("score"))
+
+
+def nested(candidates: list[tuple[str, int]], share: float = 0.8) -> dict[str, set[str]]:
+    """Of candidates (name, n) those longer ones that hold each: the words of a candidate are different, so each place of the longer one
+    holds the shorter at one place of its own, and it's enough to know that it has at least `share` of its places."""
+    n = dict(candidates)
+    longer: dict[str, set[str]] = {}
+    for name, times in candidates:
+        words = name.split(" ")
+        for size in range(1, len(words)):
+            for k in range(len(words) - size + 1):
+                short = " ".join(words[k : k + size])
+                if short in n and times >= share * max(n[short], times):
+                    longer.setdefault(short, set()).add(name)
+    return longer
 
 
 def choose(candidates: list[tuple[str, set[str]]], limit: int) -> list[str]:
@@ -129,22 +153,36 @@ def choose(candidates: list[tuple[str, set[str]]], limit: int) -> list[str]:
     return kept
 
 
-def concepts(units: DataFrame, keys: list[str], limit: int = 15, stopwords: Iterable[str] = L.STOPWORDS) -> DataFrame:
+def concepts(units: DataFrame, keys: list[str], limit: int = 15, stopwords: Iterable[str] = L.STOPWORDS, first: int = 200) -> DataFrame:
     """(keys, rank, name, score, n, frequency, distribution, association, timestamps): at most `limit` a key, scores
-    rounded to six digits, the first five different times."""
-    ranked = cut(scored(units, keys, stopwords))
-    longer = nested(ranked, keys).groupBy(*keys, F.col("short").alias("name")).agg(F.array_sort(F.collect_set("long")).alias("longer"))
-    rows = ranked.join(longer, [*keys, "name"], "left")
-    small = rows.select(*keys, "name", "rank", F.coalesce("longer", F.array().cast("array<string>")).alias("longer"))
+    rounded to six digits, the first five different times. The `first` best candidates of a key are looked at first, more where
+    these don't give `limit` concepts."""
+    ranked = cut(scored(cut(counted(units, keys, stopwords)), keys))
+    order = W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("n"), F.desc("size"), "first", "name")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rank")
-        kept = choose([(n, set(x)) for n, x in zip(f["name"], f["longer"])], limit)
-        order = {n: k + 1 for k, n in enumerate(kept)}
-        return f[f["name"].isin(order)].assign(chosen=lambda d: d["name"].map(order))[[*keys, "name", "chosen"]]
+        f = f.sort_values("r")
+        longer = nested(list(zip(f["name"], f["n"].tolist())))
+        kept = choose([(x, longer.get(x, set())) for x in f["name"]], limit)
+        at = {x: k + 1 for k, x in enumerate(kept)}
+        short = len(kept) < limit and len(f) == f["upto"].iloc[0]
+        return f[f["name"].isin(at)].assign(rank=lambda d: d["name"].map(at), short=short)[[*keys, "name", "rank", "short"]]
 
     types = dict(units.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", name string, chosen int"
-    chosen = small.groupBy(*keys).applyInPandas(run, schema)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", name string, rank int, short boolean"
+    chosen, left, upto = None, ranked, first
+    while True:
+        few = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= upto).select(*keys, "name", "n", "r", F.lit(upto).alias("upto"))
+        got = cut(few.groupBy(*keys).applyInPandas(run, schema))
+        done = got.where("not short").drop("short")
+        chosen = done if chosen is None else chosen.unionByName(done)
+        asking = got.where("short").select(*keys).distinct()
+        if asking.isEmpty():
+            break
+        left, upto = left.join(asking, keys, "left_semi"), upto * 16
+    chosen = chosen.join(ranked, [*keys, "name"])
+    # Times of the chosen alone: the least place of each, in order of place.
+    seen = ngrams(units, keys).where(possible(stopwords)).join(chosen.select(*keys, "name"), [*keys, "name"]).groupBy(*keys, "name", "second").agg(F.min(F.struct("unit", "i")).alias("p"))
+    times = seen.groupBy(*keys, "name").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("p", "second"))), 1, 5), lambda x: code(x["second"])).alias("timestamps"))
     r6 = lambda c: F.round(c, 6).alias(c)
-    return rows.join(chosen, [*keys, "name"]).select(*keys, F.col("chosen").alias("rank"), "name", r6("score"), "n", r6("frequency"), r6("distribution"), r6("association"), F.transform(F.slice("seconds", 1, 5), code).alias("timestamps"))
+    return chosen.join(times, [*keys, "name"]).select(*keys, "rank", "name", r6("score"), "n", r6("frequency"), r6("distribution"), r6("association"), "timestamps")

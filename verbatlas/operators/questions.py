@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..plans.barrier import where_computed
 from .units import FRAGMENT
 
 QUESTION = f"video_id string, category string, rank int, question string, second bigint, answer string, fragments array<{FRAGMENT}>"
@@ -49,7 +50,8 @@ def sliced(df: DataFrame, part: str, out: str = "fragments") -> DataFrame:
 def evidence_for(units: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, unit...): for each term the first unit that has it, one that says what it is before others."""
     says = F.col("text").rlike("(?iu)" + T.EDGE + T.any_of(L.IS_EXPLAINED_BY) + T.END)
-    both = units.join(terms, keys).where(T.has_term(F.col("text"), F.col("term")))
+    # A plain look first: a pattern made from a column is compiled anew for each pair.
+    both = where_computed(units.withColumn("_low", F.lower("text")).join(terms, keys).where(F.contains("_low", F.lower("term"))), T.has_term(F.col("text"), F.col("term")))
     best = F.min_by(F.struct("position", "part", "second", "text", "fragments"), F.struct((~says).alias("x"), "position", "part"))
     return both.groupBy(*keys, "term").agg(best.alias("u")).select(*keys, "term", "u.*")
 
@@ -59,11 +61,11 @@ def explained_topics(units: DataFrame, concepts: DataFrame, keep: int = 9) -> Da
     kept: a question takes the first whose evidence is free, and no more than eight can be taken."""
     text = F.col("text")
     verb = F.regexp_instr(text, F.lit("(?iu)" + T.EDGE + T.any_of(L.EXPLAINS) + T.END))
-    rows = units.withColumn("verb", verb).where((F.col("verb") > 0) & ~text.rlike(r"(?iu)\s+" + T.any_of(L.CAUSES) + r"\s+"))
+    rows = where_computed(units.withColumn("verb", verb), F.col("verb") > 0).where(~text.rlike(r"(?iu)\s+" + T.any_of(L.CAUSES) + r"\s+"))
     lead = F.get(F.filter(T.all_matches(F.lower(text), L.WORD + "+"), lambda w: ~F.array_contains(T.listed(L.STOPWORDS), w)), F.lit(0))
     rows = rows.withColumn("lead", F.coalesce(lead, F.lit("")))
-    both = rows.join(concepts.select("video_id", F.col("name").alias("topic"), F.col("rank").alias("c")), "video_id")
-    both = both.withColumn("at", F.regexp_instr(text, T.term_pattern(F.col("topic")))).where("at > 0 and at + char_length(topic) <= verb")
+    both = rows.withColumn("_low", F.lower("text")).join(concepts.select("video_id", F.col("name").alias("topic"), F.col("rank").alias("c")), "video_id")
+    both = both.where(F.contains("_low", F.lower("topic"))).withColumn("at", F.regexp_instr(text, T.term_pattern(F.col("topic")))).transform(lambda d: where_computed(d, F.expr("at > 0 and at + char_length(topic) <= verb")))
     action = F.col("lead").rlike("(?:ar|er|ir)$")
     both = both.where(~action | (F.col("topic") != F.col("lead")))
     size = F.size(F.split("topic", " "))

@@ -139,6 +139,11 @@ def sentence_units(cues: DataFrame, block: int = BLOCK, overlap: bool = False) -
     return fold(readable(cues), "video_id", "cue_index", ["cue_index", "second", "text"], Spoken if overlap else Units, UNIT, block)
 
 
+def in_order(units: DataFrame) -> DataFrame:
+    """units with unit, a number that follows their order (a cue begins fewer than 2 ** 20 units)."""
+    return units.withColumn("unit", F.col("position") * (1 << 20) + F.col("part"))
+
+
 def informative(units: DataFrame) -> DataFrame:
     return units.where(~T.is_noise(F.col("text")))
 

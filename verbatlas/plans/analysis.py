@@ -12,18 +12,33 @@ from ..session import cut
 FORMAT = 3
 
 
+class Bundle(dict):
+    """Frames by name; those given as functions are made when they are first asked for."""
+
+    def __init__(self, **later):
+        super().__init__()
+        self.later = later
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.later[name]()
+        return self[name]
+
+    def __or__(self, more: dict) -> Bundle:
+        self.update(more)
+        return self
+
+
 def analyze(cues: DataFrame, catalog: DataFrame, *, overlap: bool = True) -> dict[str, DataFrame]:
     """cues, units, keywords, tools, ideas, sections, concepts, questions and cards of the videos in cues (video_id,
     cue_index, second, text); catalog (name, description, category, aliases). Units are made once and kept in the
     shared folder, for all the rest reads them."""
-    clean = captions.without_overlap(cues) if overlap else cues
     base = cut(units.informative(units.sentence_units(cues, overlap=overlap)))
-    placed = base.withColumn("unit", F.struct("position", "part"))
+    placed = units.in_order(base)
     named = tools.tool_mentions(placed, ["video_id"], "text", catalog, order="unit")
     best = cut(ideas.ideas(base))
     ranked = cut(concepts.concepts(placed, ["video_id"]))
     asked = questions.questions(base, named, ranked, best)
-    return {
-        "cues": clean, "units": base, "keywords": keywords.keywords(placed, ["video_id"], "text", 25, order="unit"), "tools": named, "ideas": best, "sections": ideas.sections(base), "concepts": ranked, "questions": asked,
+    return Bundle(cues=lambda: captions.without_overlap(cues) if overlap else cues) | {
+        "units": base, "keywords": keywords.keywords(placed, ["video_id"], "text", 25, order="unit"), "tools": named, "ideas": best, "sections": ideas.sections(base), "concepts": ranked, "questions": asked,
         "cards": questions.flashcards(asked, named),
     }

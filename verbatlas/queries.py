@@ -361,7 +361,7 @@ def section_summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    return found.withColumn("unit", F.struct("position", "part"))
+    return units.in_order(found)
 
 
 @query()
