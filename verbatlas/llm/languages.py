@@ -1,7 +1,8 @@
 """Languages of subtitle tracks and of the segments of mixed ones.
 
 Cues are compared with rank-order profiles one by one; the distances of a track's cues are smoothed
-into stretches, and stretches too short to be a segment go to the one around them. Tracks are worked
+into stretches, and stretches too short to be a segment go to the one around them. The n-grams of each
+stretch are then ranked, and the profile least out of place gives its language. Tracks are worked
 on in blocks that overlap, so an endless one is many groups.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.barrier import where_computed
 from ..session import Shipped
-from .profiles import Profiles, trained
+from .profiles import Profiles, encode, trained
 from .streams import whole_groups
 
 #: Labelled tracks of each language, and first positions of each, that the profiles are made from.
@@ -27,6 +28,8 @@ TRACKS, POSITIONS = 64, 150
 BLOCK, OVERLAP = 4096, 256
 #: What a change of language costs, in distance UNITs: part of what one clear cue is worth.
 SWITCH = 250
+#: Out-of-place distance by which the second nearest language must be further off for a confidence of 0.73.
+MARGIN = 0.03
 
 # Writings of each language's name and its codes; regions follow after - or _.
 NAMES = {
@@ -126,19 +129,24 @@ def _measure(sent):
         for batch in batches:
             d = model.distances(batch.column(2).to_pylist())
             d = np.minimum(d - d.min(axis=1, keepdims=True), 32767).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(d[:, k]) for k in range(d.shape[1]))], names=["id", "i", *model.languages])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(d[:, k]) for k in range(d.shape[1]))], names=["id", "i", "speech", *model.languages])
 
     return run
 
 
-def _segment(languages: list[str], least: int, block: int):
-    """Sorted blocks of cues to the segments' pieces inside each block."""
+def _segment(sent, least: int, block: int):
+    """Sorted blocks of cues to the segments' pieces inside each block. Where a segment begins comes from the smoothed distances of its
+    cues; its language is the one whose profile is nearest to the ranks of its own n-grams, all its cues taken together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Profiles = sent.value
+        languages = model.languages
         for rows, starts in whole_groups(batches, ["id", "b"]):
             index = rows.column("i").to_numpy()
             cost = np.stack([rows.column(x).to_numpy() for x in languages], axis=1).astype(np.int64)
             blocks = rows.column("b").to_numpy()
+            symbols, begins = encode(rows.column("speech").to_pylist())
+            begins = np.append(begins, len(symbols))
             ids = rows.column("id")
             ends = [*starts[1:].tolist(), len(index)]
             out: list[tuple] = []
@@ -158,6 +166,7 @@ def _segment(languages: list[str], least: int, block: int):
                 i = index[a:b]
                 new = np.ones(len(i), bool)
                 new[1:] = i[1:] != i[:-1]
+                at = a + np.flatnonzero(new)
                 i, c = i[new], cost[a:b][new]
                 found = stretches(smooth(c), least) if mixed[g] else ([(0, int(best[g]))] if len(i) >= least else [])
                 own = blocks[a]
@@ -166,12 +175,12 @@ def _segment(languages: list[str], least: int, block: int):
                     e = found[k + 1][0] if k + 1 < len(found) else len(i)
                     core = np.flatnonzero(i[s:e] // block == own)
                     if len(core):
-                        piece = c[s:e][core]
-                        others = np.delete(piece.sum(axis=0), lang)
-                        out.append((name, int(i[s:e][core[0]]), int(i[s:e][core[-1]]), languages[lang], len(core), int(others.min() if len(others) else 0), int(piece[:, lang].sum())))
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["id", "i0", "i1", "language", "n", "other", "own"])
+                        # The whole stretch, its rows of neighbouring blocks included, is ranked.
+                        far = model.ranked_distance(symbols[begins[at[s]] : begins[at[e - 1] + 1]])
+                        out.append((name, int(i[s:e][core[0]]), int(i[s:e][core[-1]]), languages[lang], len(core), (far * len(core)).tolist()))
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["id", "i0", "i1", "stretch", "n", "far"])
 
     return run
 
@@ -179,7 +188,7 @@ def _segment(languages: list[str], least: int, block: int):
 def segments(cues: DataFrame, model: Profiles, least: int = 5, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
     """(id, first_cue, last_cue, language, n_cues, confidence) of the segments of all tracks; cues: (id, i, speech).
 
-    confidence grows from 0.5 to 1 with the distance per cue by which the second nearest language is
+    confidence grows from 0.5 to 1 with the out-of-place distance by which the second nearest language is
     further off. A cue delivered twice counts once.
     """
     spark = cues.sparkSession
@@ -187,17 +196,22 @@ def segments(cues: DataFrame, model: Profiles, least: int = 5, block: int = BLOC
         return spark.createDataFrame([], "id string, first_cue bigint, last_cue bigint, language string, n_cues bigint, confidence double")
     names = model.languages
     sent = Shipped(spark, model)
-    measured = cues.mapInArrow(_measure(sent), "id string, i bigint, " + ", ".join(f"{x} smallint" for x in names))
+    measured = cues.mapInArrow(_measure(sent), "id string, i bigint, speech string, " + ", ".join(f"{x} smallint" for x in names))
     own, at = F.floor(F.col("i") / F.lit(block)), F.pmod("i", F.lit(block))
     seen = F.array_compact(F.array(own, F.when((at < overlap) & (own > 0), own - 1), F.when(at >= block - overlap, own + 1)))
     blocks = measured.withColumn("b", F.explode(seen)).repartition("id", "b").sortWithinPartitions("id", "b", "i")
-    pieces = blocks.mapInArrow(_segment(names, least, block), "id string, i0 bigint, i1 bigint, language string, n bigint, other bigint, own bigint")
+    pieces = blocks.mapInArrow(_segment(sent, least, block), "id string, i0 bigint, i1 bigint, stretch string, n bigint, far array<double>")
     order = W.partitionBy("id").orderBy("i0")
-    pieces = pieces.withColumn("new", F.when(F.lag("language").over(order) == F.col("language"), 0).otherwise(1))
-    pieces = pieces.withColumn("s", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    whole = pieces.groupBy("id", "s", "language").agg(F.min("i0").alias("first_cue"), F.max("i1").alias("last_cue"), F.sum("n").alias("n_cues"), F.sum("other").alias("other"), F.sum("own").alias("own"))
-    margin = (F.col("other") - F.col("own")) / F.col("n_cues") / F.lit(float(SWITCH))
-    return whole.select("id", "first_cue", "last_cue", "language", "n_cues", (1 / (1 + F.exp(-margin))).alias("confidence"))
+    number = lambda df, c: df.withColumn("new", F.when(F.lag(c).over(order) == F.col(c), 0).otherwise(1)).withColumn("s", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    sums = [F.sum(F.col("far")[k]).alias(x) for k, x in enumerate(names)]
+    ends = [F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.sum("n").alias("n")]
+    whole = number(pieces, "stretch").groupBy("id", "s").agg(*ends, *sums)
+    ranks = F.array_sort(F.array(*[F.struct((F.col(x) / F.col("n")).alias("far"), F.lit(x).alias("language")) for x in names]))
+    whole = whole.withColumn("ranks", ranks).withColumn("language", F.col("ranks")[0]["language"])
+    # Neighbours that turn out to be of one language are one segment.
+    margin = (F.col("ranks")[1]["far"] - F.col("ranks")[0]["far"]) if len(names) > 1 else F.lit(1.0)
+    whole = number(whole.withColumn("margin", margin * F.col("n")), "language").groupBy("id", "s", "language").agg(F.min("i0").alias("first_cue"), F.max("i1").alias("last_cue"), F.sum("n").alias("n_cues"), F.sum("margin").alias("margin"))
+    return whole.select("id", "first_cue", "last_cue", "language", "n_cues", (1 / (1 + F.exp(-F.col("margin") / F.col("n_cues") / F.lit(MARGIN)))).alias("confidence"))
 
 
 def track_languages(subtitles: DataFrame, cues: DataFrame, *, model: Profiles | None = None, least: int = 5) -> DataFrame:

@@ -17,6 +17,8 @@ from ..session import bounded_rows, cut
 
 #: Groups that a source's records are cumulated in, so that a large source is no single group.
 BUCKETS = 512
+#: Groups of all sources together.
+MOST_GROUPS = 1_000_000
 
 
 def source_key(source: Column) -> Column:
@@ -40,12 +42,12 @@ def finish_of(budget: float, sources: Sequence[tuple[float, float]]) -> float:
     return until
 
 
-def mix(records: DataFrame, targets: DataFrame, *, key: str, source: str, size: str, budget: int | None = None, seed: int = 1, buckets: int = BUCKETS, most_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def mix(records: DataFrame, targets: DataFrame, *, key: str, source: str, size: str, budget: int | None = None, seed: int = 1, buckets: int | None = None, most_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(picks, report).
 
     picks: key, source, repeat (from 0), size, finish; range-sorted by finish. report: a row per source
-    of targets with target_share, max_repeats, n_records, available (size once), picked, actual_share
-    and short: available times max_repeats is below target_share times the budget.
+    of targets with target_share, max_repeats, n_records, available (size once), picked, actual_share,
+    reached (picked is target_share times the budget or more) and short: available times max_repeats is below that.
     budget defaults to the size of all records, those of other or no sources included. Records
     without a size (null) don't count, those of size 0 are picked with the record before them; a source
     of weight 0 or without records gives none. targets (source, target_share, max_repeats) is a table
@@ -57,13 +59,14 @@ def mix(records: DataFrame, targets: DataFrame, *, key: str, source: str, size:
     wanted: dict[str, tuple[float, int]] = {}
     for r in sorted(bounded_rows(targets.select(source_key(F.col("source")).alias("s"), F.coalesce("target_share", F.lit(0.0)).alias("w"), F.coalesce("max_repeats", F.lit(1)).alias("m")), most_sources)):
         wanted.setdefault(r.s, (max(float(r.w), 0.0), max(int(r.m), 0)))
+    buckets = buckets or max(1, min(BUCKETS, MOST_GROUPS // max(1, len(wanted))))
     base = records.select(F.col(key).alias("k"), source_key(F.col(source)).alias("source"), F.col(size).cast("bigint").alias("size")).where("size is not null")
     base = base.withColumn("u", F.xxhash64(F.lit(seed), F.col("k"), F.col("size"))).withColumn("bucket", F.pmod(F.shiftrightunsigned(F.col("u"), 20), F.lit(buckets)).cast("int"))
     base = cut(base)
     total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     own = base.where(F.col("source").isin(list(wanted))) if wanted else base.where("false")
-    # At most sources * buckets rows.
-    sums = sorted(tuple(r) for r in own.groupBy("source", "bucket").agg(F.sum("size").alias("v"), F.count("*").alias("n")).collect())
+    # At most sources * buckets rows, which is checked before they are collected and broadcast.
+    sums = sorted(tuple(r) for r in bounded_rows(own.groupBy("source", "bucket").agg(F.sum("size").alias("v"), F.count("*").alias("n")), MOST_GROUPS))
     have: dict[str, tuple[int, int]] = {}
     offsets = []
     for s, b, v, n in sums:
@@ -86,4 +89,5 @@ def mix(records: DataFrame, targets: DataFrame, *, key: str, source: str, size:
     got = queue.groupBy("source").agg(F.sum("size").alias("picked"))
     everything = F.sum("picked").over(W.partitionBy(F.lit(0)))  # over the rows of targets
     report = facts.join(got, "source", "left").withColumn("picked", F.coalesce("picked", F.lit(0)))
+    report = report.withColumn("reached", F.col("picked") >= F.col("target_share") * F.lit(float(budget)))
     return picks, report.withColumn("actual_share", F.coalesce(F.try_divide(F.col("picked"), everything), F.lit(0.0)))

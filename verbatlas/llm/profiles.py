@@ -89,15 +89,30 @@ class Profiles:
 
     def out_of_place(self, text: str, most: int = 400) -> np.ndarray:
         """Mean distance of the most frequent n-grams of a longer text, ranked, to each language's, from 0 to 1."""
-        code = grams(encode([text])[0])
+        return self.ranked_distance(encode([text])[0], most)
+
+    def ranked_distance(self, symbols: np.ndarray, most: int = 400) -> np.ndarray:
+        """out_of_place of encoded text."""
+        code = grams(symbols)
         a, b, c = code >> 12, code >> 6 & 63, code & 63
         out = np.zeros(len(self.languages))
-        for k, found in enumerate((code[(a > 0) | (b > 0)] >> 6, code[(b > 0) & ((a > 0) | (c > 0))])):
-            grams_, count = np.unique(found, return_counts=True)
-            top = grams_[np.argsort(-count, kind="stable")][:most]
+        for k, (found, size) in enumerate(((code[(a > 0) | (b > 0)] >> 6, 1 << 12), (code[(b > 0) & ((a > 0) | (c > 0))], 1 << 18))):
+            if len(found) > 20_000:
+                count = np.bincount(found, minlength=size)
+                held = np.flatnonzero(count)
+                count = count[held]
+            else:
+                held, count = np.unique(found, return_counts=True)
+            order = np.argsort(-count, kind="stable")[:most]
+            top, n = held[order], count[order]
+            # Equally frequent n-grams share their mean rank, or the order of their codes would count.
+            new = np.ones(len(n), bool)
+            new[1:] = n[1:] != n[:-1]
+            group = np.cumsum(new) - 1
+            rank = (np.bincount(group, np.arange(len(n))) / np.bincount(group))[group] if len(n) else np.zeros(0)
             for j, ranks in enumerate(self.ranks):
                 r = ranks[k][top]
-                away = np.where(r < KEPT, np.minimum(np.abs(r - np.arange(len(top))), KEPT), KEPT)
+                away = np.where(r < KEPT, np.minimum(np.abs(r - rank), KEPT), KEPT)
                 out[j] += away.mean() / KEPT / 2 if len(top) else 0.5
         return out
 
