@@ -42,7 +42,7 @@ def test_unknown_tools_of_all_texts(spark, sf_dir):
     known = {r.name.lower() for r in spark.read.parquet(f"{sf_dir}/tools.parquet").collect() if r.name}
     out = {*known, *tools.L.STOPWORDS}
     want = {(*k, n) for k, n in counts.items() if n >= 2 and k[1] not in tools.L.IGNORED_CANDIDATES and k[1].lower().strip(".-") not in out}
-    assert {tuple(r) for r in QUERIES["unknown_candidates_all"](spark, sf_dir).select("source", "name", "n").collect()} == want
+    assert {tuple(r) for r in QUERIES["unknown_candidates"](spark, sf_dir).select("source", "name", "n").collect()} == want
 
 
 def test_rolling_overlap(spark):
@@ -133,6 +133,13 @@ def test_library(spark):
     assert [(r.id, r.title) for r in library.latest(versions).collect()] == [("a", "new")]
 
 
+def test_a_change_without_a_path_is_no_lost_change(spark):
+    entry = "id string, title string, channel string, duration double, url string, path string, tools array<string>, created_at string, updated_at string"
+    old = spark.createDataFrame([("a", "A", None, 1.0, None, "p", [], "c1", "u1")], entry)
+    new = spark.createDataFrame([("a", "A2", None, 1.0, None, None, []), ("n", "N", None, None, None, None, None)], entry.split(", created_at")[0])
+    assert {r.id: (r.title, r.path, r.created_at, r.updated_at) for r in library.upsert(old, new, "now").collect()} == {"a": ("A2", None, "c1", "now"), "n": ("N", None, "now", "now")}
+
+
 def test_search(spark):
     lines = spark.createDataFrame([("v", 0, "[00:00:01] Uno"), ("v", 1, "[00:00:02] dos 100%_"), ("v", 2, "sin tiempo"), ("w", 0, "[00:00:03] DOS")], "video_id string, line_no int, line string")
     names = spark.createDataFrame([("v", "V", 2), ("w", None, 1)], "id string, title string, place int")
@@ -160,6 +167,7 @@ def test_subtitle_choice(spark, tracks, wanted, chosen):
 
 def test_translation_and_inventory(spark):
     url = lambda u: spark.range(1).select(subtitles.is_translation(F.lit("automatic"), F.lit(None).cast("boolean"), F.lit(None).cast("string"), F.lit("es"), F.lit(u)).alias("v")).first().v
+    assert url("https://x.example/?tlang=&tlang=es#tlang=") is True and url("https://x.example/#?tlang=es") is False
     assert url("https://x.example/?tlang=es") is True and url("https://x.example/?lang=es") is False
     listed = spark.createDataFrame([("v", "d/v.es.vtt", "es", "automatic", False, None), ("v", "d/v.es.vtt", "es", "manual", False, None), ("v", "d/gone.vtt", "fr", "manual", False, None)], "video_id string, path string, language string, kind string, is_translation boolean, source_language string")
     there = spark.createDataFrame([("v", "d/v.es.vtt", 5), ("v", "d/v.pt-BR.vtt", 6)], "video_id string, path string, size bigint")

@@ -103,3 +103,22 @@ def test_small_ones(spark):
     assert [value(spark, lambda t, k=k: T.retry_seconds(F.lit(k))) for k in (0, 1, 2, 4, 9)] == [1, 1, 2, 8, 8]
     assert value(spark, T.version_parts, "2024.08.6rc1") == [2024, 8, 6, 1]
     assert [value(spark, lambda t, s=s: T.duration_label(F.lit(s).cast("double"))) for s in (None, 0, 61.9, 3661)] == ["N/D", "N/D", "1:01", "1:01:01"]
+
+
+@pytest.mark.parametrize("text", ["caf&eacute; &#233; &#xE9;", "&amp;lt;b&gt;", "a &lt;b&gt;c&lt;/b&gt; d", "&notanentity; &#0; & &;", "&#128512; ok", "&ldquo;x&rdquo; &hellip; &nbsp;&#160;y", "5 &lt; 6 &euro;", None, ""])
+def test_entities(spark, text):
+    import html
+
+    got = spark.createDataFrame([(text,)], "t string").select(T.unescaped(F.col("t"))).first()[0]
+    want = None if text is None else html.unescape(text)
+    assert got == (want if text != "&notanentity; &#0; & &;" else text)
+
+
+@pytest.mark.parametrize("text,want", [("Ő ș ﬁn Ｆｕｌｌ ĳs", "o s fin full ijs"), ("Straße ÑANDÚ", "strasse nandu"), ("e\u0301 ﬀ", "e ff"), ("plain 12", "plain 12")])
+def test_folding(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(T.folded(F.col("t"))).first()[0] == want
+
+
+def test_aliases_are_normalised(spark):
+    got = spark.createDataFrame([("El Gerd y gerdo usan CLOU.",)], "t string").select(T.with_aliases(F.col("t"), {"gerd|herder": "Herdr", "clou": "Claudio"})).first()[0]
+    assert got == "El Herdr y gerdo usan Claudio."

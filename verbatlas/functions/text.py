@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -163,15 +165,36 @@ def explains(text: Column, term: Column) -> Column:
     return (verb > 0) & ~text.rlike(r"(?iu)\s+" + any_of(L.CAUSES) + r"\s+") & (at > 0) & (at + F.char_length(term) <= verb)
 
 
-# Letters with marks and the letters they are compared as.
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-BARE = "aaaaaaeeeeiiiiooooouuuuncyy"
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition makes of letters and digits once marks are gone: single ones, theirs, and those that become several."""
+    single, several = {}, {}
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or not (c.isalnum() or unicodedata.combining(c)):
+            continue
+        t = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
+        t = unicodedata.normalize("NFKD", t.casefold())
+        if t == c or not t.isascii():
+            continue
+        if len(t) == 1:
+            single[c] = t
+        elif t and t.isalnum() and len(t) <= 3 and not c.isnumeric():
+            several[c] = t
+    return "".join(single), "".join(single.values()), several
+
+
+MARKED, BARE, SEVERAL = _folds()
+SEVERAL = {c: t for c, t in SEVERAL.items() if c < "\u0250" or c >= "\ufb00"}
 
 
 def folded(text: Column) -> Column:
-    """Runs of a to z and digits, one blank apart, case and accents aside."""
-    t = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), MARKED, BARE)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\p{M}+", ""), "[^a-z0-9]+", " "))
+    """Runs of a to z and digits, one blank apart; case, accents and other forms of a letter (full-width, ligatures) aside."""
+    t = F.lower(text)
+    wide = t
+    for c, plain in SEVERAL.items():
+        wide = F.replace(wide, F.lit(c), F.lit(plain))
+    t = F.when(t.rlike("[^\\x00-\\x7f]"), F.regexp_replace(F.translate(wide, MARKED, BARE), r"\p{M}+", "")).otherwise(t)
+    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
 def contains_alias(text: Column, alias: Column) -> Column:
@@ -191,15 +214,43 @@ def occurrences(text: Column, alias: Column) -> Column:
     return F.when(folded(alias) == "", 0).otherwise(((F.char_length(t) - F.char_length(F.replace(t, a, F.lit("")))) / F.char_length(a)).cast("int"))
 
 
-# Entities that captions and pages carry.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&#160;": " ", "&amp;": "&"}
+# Entities that captions carry most.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&#160;": "\u00a0", "&amp;": "&"}
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: Named entities as HTML defines them, of one character each.
+NAMED = {f"&{k}": v for k, v in html5.items() if k.endswith(";") and len(v) == 1}
+
+
+def unescaped(text: Column) -> Column:
+    """Entities decoded, once: named and numbered ones. What names no character stays."""
+    few = text
+    for entity, char in ENTITIES.items():
+        few = F.replace(few, F.lit(entity), F.lit(char))
+    names = F.create_map(*[F.lit(x) for pair in sorted(NAMED.items()) for x in pair])
+    digits = lambda e: F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, "([0-9]+);", 1)).cast("bigint")
+
+    def char(e: Column) -> Column:
+        code = digits(e)
+        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(F.startswith(e, F.lit("&#")), number).otherwise(F.try_element_at(names, e)), e)
+
+    parts, found = F.split(text, ENTITY, -1), all_matches(text, ENTITY)
+    rest = F.array_join(F.zip_with(parts, found, lambda t, e: F.concat(t, F.coalesce(char(e), F.lit("")))), "")
+    other = F.replace(F.regexp_replace(text, "&(?:lt|gt|quot|apos|nbsp|amp|#39|#160);", ""), F.lit("\u0001"), F.lit(""))
+    return F.when(~F.contains(text, F.lit("&")), text).when(other.rlike(ENTITY), rest).otherwise(few)
 
 
 def caption_text(line: Column) -> Column:
     """Entities decoded, tags removed, blanks squeezed. Decoding comes first, so encoded tags go too."""
-    for entity, char in ENTITIES.items():
-        line = F.replace(line, F.lit(entity), F.lit(char))
-    return squeezed(F.replace(F.regexp_replace(line, "<[^>]+>", ""), F.lit("&nbsp;"), F.lit(" ")))
+    return squeezed(F.replace(F.regexp_replace(unescaped(line), "<[^>]+>", ""), F.lit("&nbsp;"), F.lit(" ")))
+
+
+def with_aliases(text: Column, aliases: dict[str, str]) -> Column:
+    """text with whole words replaced, case aside: what is often misheard by what was meant, in order."""
+    for said, meant in aliases.items():
+        text = F.regexp_replace(text, "(?iu)" + EDGE + "(?:" + said + ")" + END, meant)
+    return text
 
 
 def merged_lines(lines: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FIELDS = ("id", "title", "channel", "duration", "url", "path", "tools")
@@ -44,9 +43,13 @@ def validated(entries: DataFrame, value: str = "value") -> DataFrame:
     return df.select(*rest, value, reason.alias("reason"), *fields)
 
 
+def by_update() -> list[Column]:
+    """The order of an index: the last updated first, null last, equal ones by id."""
+    return [F.desc(F.coalesce("updated_at", F.lit(""))), F.col("id")]
+
+
 def ordered(entries: DataFrame) -> DataFrame:
-    """Entries with place, from 1: the last updated first, null last, equal ones by id."""
-    return entries.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.coalesce("updated_at", F.lit(""))), "id")))
+    return entries.orderBy(*by_update())
 
 
 def same_content(a: str, b: str) -> Column:
@@ -60,8 +63,8 @@ def upsert(library: DataFrame, changes: DataFrame, now: str) -> DataFrame:
     """The library (one row per id) with changes (FIELDS) in place of entries of the same id: created_at is kept, or now; updated_at is now.
     Of an id changed twice the greatest path counts."""
     new = changes.groupBy("id").agg(F.max(F.struct("path", *[f for f in FIELDS if f not in ("id", "path")])).alias("x")).select("id", "x.*")
-    joined = library.alias("o").join(new.alias("n"), "id", "full_outer")
-    changed = F.col("n.path").isNotNull()
+    joined = library.alias("o").join(new.withColumn("is_new", F.lit(True)).alias("n"), "id", "full_outer")
+    changed = F.coalesce("n.is_new", F.lit(False))
     pick = lambda f: F.when(changed, F.col(f"n.{f}")).otherwise(F.col(f"o.{f}")).alias(f)
     return joined.select("id", *[pick(f) for f in FIELDS if f != "id"], F.when(changed, F.coalesce("o.created_at", F.lit(now))).otherwise(F.col("o.created_at")).alias("created_at"), F.when(changed, F.lit(now)).otherwise(F.col("o.updated_at")).alias("updated_at"))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..errors import QualityCorpusError
 from ..functions.timecode import code
 
 METRIC_VERSION, CORPUS_VERSION = 3, 2
@@ -20,10 +24,6 @@ FALLING = ("concept_redundancy_rate", "noise_rule_violation_rate", "summary_dupl
 METRICS = (*RISING[:7], *FALLING, *RISING[7:])
 
 
-class QualityCorpusError(ValueError):
-    pass
-
-
 def ratio(n: Column, of: Column) -> Column:
     return F.coalesce(F.try_divide(n, of), F.lit(0.0))
 
@@ -141,6 +141,31 @@ def evaluate(result: dict[str, DataFrame], targets: DataFrame) -> DataFrame:
     return df.select(c("video_id").alias("case_id"), *[F.bround(m, 6).alias(m) for m in METRICS], "ideas", "questions", "concepts")
 
 
+def digest(corpus: bytes, cases: Iterable[tuple[str, bytes]]) -> str:
+    """SHA-256 of a corpus and of its cases' ids and captions in order: what a baseline was measured on."""
+    total = hashlib.sha256(corpus)
+    for name, captions in cases:
+        total.update(name.encode())
+        total.update(captions)
+    return total.hexdigest()
+
+
+def report_payload(reports: DataFrame, **head: object) -> dict:
+    """The report as it is stored: head (versions, digest), the cases by id and the macro average. For the few cases of a corpus."""
+    extra = [c for c in ("profile", "ideas", "questions", "concepts") if c in reports.columns]
+    cases = {r.case_id: {"metrics": {m: r[m] for m in METRICS}} | {c: r[c] for c in extra} for r in reports.orderBy("case_id").toLocalIterator()}
+    return {**head, "cases": cases, "macro": macro(reports).first().asDict()}
+
+
+def same_corpus(report: dict, baseline: dict) -> None:
+    """Raises unless a baseline was measured by the same metrics, on the same corpus and cases and by the same analysis."""
+    for field in ("metric_version", "corpus_schema_version", "corpus_digest", "analysis_format_version"):
+        if baseline.get(field) != report.get(field):
+            raise QualityCorpusError(f"the baseline has another {field}")
+    if not isinstance(baseline.get("cases"), dict) or set(baseline["cases"]) != set(report["cases"]):
+        raise QualityCorpusError("the baseline has other cases")
+
+
 def macro(reports: DataFrame) -> DataFrame:
     """The mean of each metric over cases, rounded again."""
     return reports.agg(*[F.bround(F.avg(m), 6).alias(m) for m in METRICS])

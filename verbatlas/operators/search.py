@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 def search(lines: DataFrame, query: str, *, library: DataFrame | None = None, video_id: str | None = None, limit: int | None = 10, context: int = 0) -> DataFrame:
     """(video_id, title, line_no, timestamp, line, before, after): lines (video_id, line_no, line) that contain query, case aside, its time
-    stamp included. In order of the library (id, title, place), or of video_id without one, and of line_no; the
+    stamp included. In order of the library (id, title, and place, or updated_at with the last first), or of video_id without one, and of line_no; the
     first `limit`, or all for None. The lines around come from all lines of the video."""
     if video_id:
         lines = lines.where(F.col("video_id") == video_id)
+    first = F.col("place")
     if library is not None:
+        if "place" not in library.columns:
+            library, first = library.withColumn("place", F.coalesce("updated_at", F.lit(""))), F.desc("place")
         names = library.select(F.col("id").alias("video_id"), F.coalesce("title", "id").alias("title"), "place")
     w = W.partitionBy("video_id").orderBy("line_no")
     if context > 0:
@@ -26,4 +29,4 @@ def search(lines: DataFrame, query: str, *, library: DataFrame | None = None, vi
     stamped = r"^\[([^\]]+)\]\s*(.*)$"
     out = hits.withColumn("timestamp", F.regexp_extract(line, stamped, 1)).withColumn("line", F.when(line.rlike(stamped), F.regexp_extract(line, stamped, 2)).otherwise(line))
     cols = ["video_id", "title", "line_no", "timestamp", "line", "before", "after"]
-    return out.select(*cols) if limit is None else out.orderBy("place", "video_id", "line_no").limit(limit).select(*cols)
+    return out.select(*cols) if limit is None else out.orderBy(first, "video_id", "line_no").limit(limit).select(*cols)

@@ -22,9 +22,20 @@ def language_rank(language: Column, wanted: Column) -> Column:
     return F.when(a == b, 0).when(a == F.concat(b, F.lit("-orig")), 1).when(base_language(a) == base_language(b), 2).otherwise(99)
 
 
+def url_parameter(url: Column, name: str) -> Column:
+    """The last value, if not empty, that a URL's query gives a parameter; null without one."""
+    values = F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(rf"(?:^|&){name}=([^&]+)"), F.lit(1))
+    return F.try_element_at(values, F.lit(-1))
+
+
+def has_vtt(extensions: Column) -> Column:
+    """Whether a track can be had as WebVTT: one of its formats is, or none is listed. extensions: an array of the formats' ext."""
+    return F.when(extensions.isNull() | (F.size(extensions) == 0), True).otherwise(F.coalesce(F.array_contains(extensions, "vtt"), F.lit(False)))
+
+
 def is_translation(kind: Column, explicit: Column, source_language: Column, language: Column, url: Column) -> Column:
     """Of automatic tracks only: what is stated, else whether the source is another language, else whether the URL asks for one."""
-    asked = F.coalesce(F.call_function("try_parse_url", url, F.lit("QUERY"), F.lit("tlang")), F.lit("")) != ""
+    asked = F.coalesce(url_parameter(url, "tlang"), F.lit("")) != ""
     other = base_language(source_language) != base_language(language)
     return (kind == "automatic") & F.coalesce(explicit, F.when(F.coalesce(source_language, F.lit("")) != "", other), asked)
 

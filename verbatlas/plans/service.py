@@ -9,6 +9,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidLibraryError
 from ..operators import captions, library, search, subtitles
 from ..sources import artifacts, files
 from .analysis import analyze
@@ -45,10 +46,26 @@ def infos(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.withColumn("name", name).withColumn("reason", F.coalesce("reason", F.when(F.col("id") != F.col("name"), F.lit("id"))))
 
 
-def analyze_folder(spark: SparkSession, folder: str, catalog: DataFrame, languages: list[str], now: str | None = None) -> int:
-    """Chooses each video's track, analyses all videos together and publishes their files beside their captions. Returns the number of files."""
+SELECTION = "path string, language string, kind string, reason string, is_translation boolean, source_language string"
+
+
+def registered(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(video_id, path, language, kind, reason, is_translation, source_language): the tracks that the videos' info.json names."""
+    if not _has_info(folder):
+        return None
+    known = infos(spark, folder).where("reason is null").select(F.col("id").alias("video_id"), F.from_json("source_subtitle", SELECTION).alias("x"))
+    return known.where("x.path is not null").select("video_id", "x.*")
+
+
+def analyze_folder(spark: SparkSession, folder: str, catalog: DataFrame, languages: list[str], now: str | None = None, listed: DataFrame | None = None, video_id: str | None = None) -> int:
+    """Chooses each video's track, analyses all videos together, or the one named, and publishes their files beside their captions. listed
+    (video_id, path, language, kind, is_translation, source_language) is what a site's metadata says of the tracks; an earlier choice in a
+    video's info.json counts first. Returns the number of files."""
     now = now or utc_now()
-    chosen = subtitles.choose(subtitles.inventory(_listed(spark), track_files(spark, folder)), languages)
+    there = track_files(spark, folder)
+    if video_id is not None:
+        there = there.where(F.col("video_id") == video_id)
+    chosen = subtitles.choose(subtitles.inventory(_listed(spark) if listed is None else listed, there), languages, registered(spark, folder))
     cues = files.parse_vtt(files.text_files(spark, os.path.join(folder, "*", "*.vtt")).withColumn("path", F.regexp_replace("path", "^file:/+", "/")))
     cues = cues.join(chosen.select("video_id", "path"), "path").select("video_id", "cue_index", "second", "text")
     known = infos(spark, folder).where("reason is null").select(F.col("id").alias("video_id"), "title", F.col("uploader").alias("channel"), "duration", F.col("webpage_url").alias("url")) if _has_info(folder) else None
@@ -110,7 +127,7 @@ def upsert(spark: SparkSession, library_path: str, changes: DataFrame, now: str
     """Writes changes (FIELDS) into the library; refuses if it has invalid entries."""
     entries = files.read_library(spark, library_path)
     if not entries.where("reason is not null").isEmpty():
-        raise ValueError(f"the library has invalid entries; rebuild it: {library_path}")
+        raise InvalidLibraryError(f"the library has invalid entries; rebuild it: {library_path}")
     files.write_library(library.upsert(entries.select(*library.FIELDS, "created_at", "updated_at"), changes, now or utc_now()), library_path)
 
 
@@ -126,7 +143,7 @@ def search_library(spark: SparkSession, library_path: str, query: str, *, video_
     owner = spark.createDataFrame([(p, v) for p, v in there.items()], "path string, video_id string")
     text = spark.read.text(sorted(there), wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), "value")
     lines = text.join(owner, "path").select("video_id", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r\n|[\n\r\x0b\x0c\u0085\u2028\u2029]")).alias("line_no", "line"))
-    return search.search(lines, query, library=entries.select("id", "title", "place"), limit=limit, context=context)
+    return search.search(lines, query, library=entries.select("id", "title", "updated_at"), limit=limit, context=context)
 
 
 __all__ = ["analyze_folder", "captions", "rebuild", "search_library", "upsert"]

@@ -28,10 +28,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share. A cluster names it in spark.checkpoint.dir; only
-    where that is unset (tests, a laptop) a temporary one is made."""
+    where that is unset and all runs on one machine (tests, a laptop) a temporary one is made."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="verbatlas-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 

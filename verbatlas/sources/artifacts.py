@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ArtifactPublicationError, VideoDataError
 from ..functions import text as T
 from ..functions.timecode import code
+from ..session import cut
 
 FILES = (
     "info.json", "transcript.txt", "transcript_clean.txt", "transcript_paragraphs.md", "summary.md", "tools.md", "tools.json", "concepts.md", "concepts.json", "questions.md", "flashcards.md", "study_guide.md", "study.md", "anki.csv",
@@ -136,7 +139,19 @@ def _chunks(cues: DataFrame) -> DataFrame:
 
 def publish(files: DataFrame, folder: str) -> int:
     """Writes every file to folder/<video_id>/<file>, folder being one that all executors share: each goes to a name of its own beside
-    its place and is then put there at once, so a task that is repeated or lost leaves no half file. Returns their number."""
+    its place and is then put there at once, so a task that is repeated or lost leaves no half file. All names and contents are checked
+    before the first is put in its place. Returns their number."""
+    plain = lambda c: F.coalesce((F.col(c) != "") & ~F.col(c).isin(".", "..") & ~F.contains(c, F.lit("/")) & ~F.contains(c, F.lit("\\")), F.lit(False))
+    files = cut(files)
+    bad = files.where(~plain("video_id") | ~plain("file")).limit(1).collect()
+    if bad:
+        raise ValueError(f"not a plain name: {bad[0].video_id!r}/{bad[0].file!r}")
+    missing = files.where("content is null").limit(1).collect()
+    if missing:
+        raise VideoDataError(f"no content for {missing[0].video_id}/{missing[0].file}")
+    twice = files.groupBy("video_id", "file").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"named twice: {twice[0].video_id}/{twice[0].file}")
 
     def write(rows: Iterator) -> Iterator[int]:
         import os
@@ -164,4 +179,7 @@ def publish(files: DataFrame, folder: str) -> int:
         for f in frames:
             yield pd.DataFrame({"n": list(write(iter(f.to_dict("records"))))})
 
-    return files.mapInPandas(write_batches, "n bigint").agg({"n": "sum"}).first()[0] or 0
+    try:
+        return files.mapInPandas(write_batches, "n bigint").agg({"n": "sum"}).first()[0] or 0
+    except PySparkException as e:
+        raise ArtifactPublicationError(f"publication is incomplete, captions are untouched; put it right and run it again: {folder}") from e

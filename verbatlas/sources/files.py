@@ -122,14 +122,30 @@ CORPUS = (
 )
 
 
+# Where a noise rule looks, and kinds of questions.
+SCOPES, CATEGORIES = ("ideas", "concepts", "question_prompts", "question_answers"), ("basicas", "comprension", "practicas")
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Targets as operators.quality.evaluate takes them, with profile and vtt; a corpus of another version or with repeated ids raises."""
-    from ..operators.quality import CORPUS_VERSION, QualityCorpusError
+    """Targets as operators.quality.evaluate takes them, with profile and vtt. A corpus of another version raises, and so does one with repeated ids,
+    a list of targets that is empty, a scope or category that isn't known, or a noise rule without a sound maximum."""
+    from ..errors import QualityCorpusError
+    from ..operators.quality import CORPUS_VERSION
 
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", CORPUS).alias("c")).select("c.*")
     head = raw.select("schema_version", F.size("cases").alias("n"), F.size(F.array_distinct(F.transform("cases", lambda c: c["id"]))).alias("ids")).first()
     if not head or head.schema_version != CORPUS_VERSION or head.n < 1 or head.n != head.ids:
         raise QualityCorpusError(f"no corpus of version {CORPUS_VERSION}: {path}")
+    lists = ("topics", "standalone_claims", "noise_rules", "question_targets", "concept_targets")
+    whole = lambda x: (F.size(x) > 0) & (F.size(F.array_distinct(F.transform(x, lambda t: t["id"]))) == F.size(x)) & F.forall(x, lambda t: F.trim(t["id"]) != "")
+    sound = F.lit(True)
+    for x in lists:
+        sound = sound & F.coalesce(whole(F.col(f"c.{x}")), F.lit(False))
+    sound = sound & F.forall("c.noise_rules", lambda r: F.coalesce(r["scope"].isin(*SCOPES) & (r["max_occurrences"] >= 0), F.lit(False)))
+    sound = sound & F.forall("c.question_targets", lambda q: F.coalesce(q["category"].isin(*CATEGORIES), F.lit(False))) & F.forall("c.concept_targets", lambda t: t["compound"].isNotNull())
+    bad = raw.select(F.explode("cases").alias("c")).where(~sound).select("c.id").limit(1).collect()
+    if bad:
+        raise QualityCorpusError(f"case {bad[0].id} of {path} isn't sound")
     claims = F.transform("c.standalone_claims", lambda x: F.struct(x["id"].alias("id"), x["marker_groups"].alias("groups"), x["timestamps"].alias("timestamps")))
     return raw.select(F.explode("cases").alias("c")).select(F.col("c.id").alias("case_id"), "c.profile", "c.vtt", "c.topics", claims.alias("claims"), "c.noise_rules", "c.question_targets", "c.concept_targets")
 
