@@ -59,7 +59,8 @@ def canonical(entries: DataFrame, catalog: DataFrame, most: int = 50_000) -> Dat
     names = F.transform(F.coalesce("items", F.array().cast("array<string>")), clean_name)
     if known:
         table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
-        names = F.transform(names, lambda x: F.coalesce(F.try_element_at(table, x), x))
+        aliases = sorted(known)  # looked for in a hash set; a map is searched from end to end
+        names = F.transform(names, lambda x: F.when(x.isin(*aliases), F.try_element_at(table, x)).otherwise(x))
     return entries.select("id", F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull() & (x != "")))).alias("items"))
 
 
@@ -121,11 +122,16 @@ def _pairs_of(frequent: set | None):
 def pair_counts(baskets: DataFrame, least: int, frequent: set | None) -> DataFrame:
     """(a, b, n) with a < b for pairs in at least `least` baskets; items must be distinct in a basket."""
     size = F.size("items")
-    parts = F.ceil(size / F.lit(CHUNK)).cast("int") - 1
-    meet = F.flatten(F.transform(F.sequence(F.lit(0), parts), lambda i: F.transform(F.sequence(i, parts), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    chunk = lambda k: F.slice("items", k * CHUNK + 1, CHUNK)
-    rows = baskets.where(size > 1).select("items", F.explode(meet).alias("m"))
-    rows = rows.select(chunk(F.col("m.i")).alias("l"), F.when(F.col("m.i") < F.col("m.j"), chunk(F.col("m.j"))).alias("r"))
+    rows = baskets.where((size > 1) & (size <= CHUNK)).select(F.col("items").alias("l"), F.lit(None).cast("array<string>").alias("r"))
+    # Wide baskets are cut into chunks that meet each other; their pairs of chunks are spread over all tasks.
+    wide = baskets.where(size > CHUNK).withColumn("basket", F.monotonically_increasing_id())
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(size / F.lit(CHUNK)).cast("int") - 1), lambda k: F.slice("items", k * CHUNK + 1, CHUNK))
+    wide = wide.select("basket", F.posexplode(chunks).alias("i", "chunk"))
+    if not wide.isEmpty():
+        wide = cut(wide)
+        other = wide.select("basket", F.col("i").alias("j"), F.col("chunk").alias("r"))
+        meet = wide.join(other, "basket").where("i <= j").repartition("basket", "i", "j")
+        rows = rows.unionByName(meet.select(F.col("chunk").alias("l"), F.when(F.col("i") < F.col("j"), F.col("r")).alias("r")))
     counted = rows.mapInArrow(_pairs_of(frequent), "a string, b string, n bigint")
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
@@ -203,7 +209,7 @@ def surprising_pairs(baskets: DataFrame, *, least: int = 10) -> DataFrame:
     repeats of baskets are counted as they come; other columns are ignored.
     """
     spark = baskets.sparkSession
-    baskets = baskets.select("items")
+    baskets = cut(baskets.select("items"))
     margin = {r.k: r.n for r in baskets.groupBy(F.size("items").alias("k")).agg(F.count("*").alias("n")).collect()}
     total = sum(margin.values())
     counts = cut(baskets.select(F.explode("items").alias("i")).groupBy("i").agg(F.count("*").alias("n")))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..session import Shipped, cut
 
-#: Groups that the items of one length are ranked in, so that a frequent length is no single group.
-SALTS = 64
+#: Groups that the items of one length are ranked in, so that a frequent length is no single group: one for each so many items,
+#: at least and at most so many.
+PER_SALT, SALTS, MOST_SALTS = 1_000_000, 64, 512
 #: Lengths that a combination is started from, and combinations kept for each.
 STARTS, PER_START = 600, 6
 
@@ -132,9 +133,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFra
     spark = items.sparkSession
     base = items.select(F.col(key).alias("k"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("s"))
     base = cut(base.withColumn("n_parts", F.greatest(F.ceil(F.col("s") / F.lit(capacity)), F.lit(1))))
+    salts = min(MOST_SALTS, max(SALTS, base.count() // PER_SALT))
     parts = base.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_parts") - 1)).alias("part"))
-    parts = parts.withColumn("length", F.least(F.col("s") - F.col("part") * capacity, F.lit(capacity)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("k", "part"), F.lit(SALTS)).cast("int"))
-    # At most capacity * SALTS rows, whatever the number of items.
+    parts = parts.withColumn("length", F.least(F.col("s") - F.col("part") * capacity, F.lit(capacity)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("k", "part"), F.lit(salts)).cast("int"))
+    # At most capacity * MOST_SALTS rows, whatever the number of items.
     counts = parts.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "salt"], ignore_index=True)
     hist = np.zeros(capacity + 1, np.int64)
     np.add.at(hist, counts["length"].to_numpy(int), counts["n"].to_numpy(int))

@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -352,15 +353,22 @@ def turn_starts(cues: DataFrame, speakers: DataFrame, second: Column, block: int
 
 def _chained(found: DataFrame) -> DataFrame:
     """Of each block the turns under the speaker that the blocks before it end with. Videos of one block are done;
-    of longer ones only the map from the speaker before a block to the one after it is chained."""
-    first = found.groupBy("id").agg(F.max("b").alias("last"))
-    found = found.join(first, "id")
-    maps = found.where("last > 0").groupBy("id", "b").agg(F.map_from_entries(F.collect_list(F.struct("before", "after"))).alias("m"))
-    order = W.partitionBy("id").orderBy("b")
-    seen = F.collect_list("m").over(order.rowsBetween(W.unboundedPreceding, -1))
-    before = maps.select("id", "b", F.aggregate(seen, F.lit(-1), lambda now, m: F.coalesce(F.try_element_at(m, now), now)).alias("now"))
-    found = found.join(before, ["id", "b"], "left")
-    return found.where(F.col("before") == F.coalesce("now", F.lit(-1)))
+    of longer ones only the speakers before and after each block are walked through, once and in order."""
+    last = found.groupBy("id").agg(F.max("b").alias("last")).where("last > 0").select("id")
+    steps = found.join(last, "id", "left_semi").select("id", "b", "before", "after")
+
+    def walk(f: pd.DataFrame) -> pd.DataFrame:
+        maps: dict[int, dict[int, int]] = {}
+        for b, before, after in zip(f["b"].tolist(), f["before"].tolist(), f["after"].tolist()):
+            maps.setdefault(b, {})[before] = after
+        now, rows = -1, []
+        for b in sorted(maps):
+            rows.append((f["id"].iloc[0], b, now))
+            now = maps[b].get(now, now)
+        return pd.DataFrame(rows, columns=["id", "b", "now"])
+
+    before = steps.groupBy("id").applyInPandas(walk, "id string, b bigint, now int")
+    return found.join(before, ["id", "b"], "left").where(F.col("before") == F.coalesce("now", F.lit(-1)))
 
 
 def _pieces(sent):
