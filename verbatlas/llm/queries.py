@@ -17,7 +17,7 @@ from .pairs import defects
 from .pii import personal_spans, redacted
 from .runs import collapse_runs
 from .sizes import with_tokens
-from .turns import speaker_turns, turn_starts
+from .turns import speaker_turns
 
 P4_FOUND = r"""
 WITH latest AS (
@@ -55,8 +55,7 @@ def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    runs = collapse_runs(table(spark, sf, "cues"), "video_id", "cue_index", seconds(F.col("ts")), "text", with_text=False)
-    return runs.select("video_id", F.col("first_cue").cast("int"), F.col("last_cue").cast("int"))
+    return p1_runs(spark, sf).select("video_id", F.col("first_cue").cast("int"), F.col("last_cue").cast("int"))
 
 
 def p2_tracks(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,8 +91,7 @@ def p5_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    starts = turn_starts(table(spark, sf, "cues"), table(spark, sf, "speakers"), seconds(F.col("ts")))
-    return starts.select(F.col("id").alias("video_id"), F.col("i").cast("int").alias("first_cue"), "speaker_id")
+    return p5_turns(spark, sf).select("video_id", F.col("first_cue").cast("int"), "speaker_id")
 
 
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:

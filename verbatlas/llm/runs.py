@@ -33,7 +33,7 @@ def with_plain_words(df: DataFrame, text: str, out: str) -> DataFrame:
     c = F.col(out)
     df = df.withColumn(out, F.lower(F.col(text)))
     accents = F.regexp_replace(F.replace(c, F.lit("&szlig;"), F.lit("ß")), "&([a-z])(?:acute|grave|circ|uml|tilde|cedil|ring);", "$1")
-    df = df.withColumn(out, F.when(F.contains(c, F.lit("&")), F.regexp_replace(accents, "&lt;[^&<>]{0,80}&gt;|&(?:#x?[0-9a-f]+|[a-z]+[0-9]*);", " ")).otherwise(c))
+    df = df.withColumn(out, F.when(F.contains(c, F.lit("&")), F.regexp_replace(accents, "&lt;[^&<>]*&gt;|&(?:#x?[0-9a-f]+|[a-z]+[0-9]*);", " ")).otherwise(c))
     df = df.withColumn(out, F.regexp_replace(c, "<[^<>]*>", " "))
     df = df.withColumn(out, F.when(F.octet_length(c) > F.char_length(c), F.replace(F.translate(c, accented, plain), F.lit("ß"), F.lit("ss"))).otherwise(c))
     return df.withColumn(out, F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")))

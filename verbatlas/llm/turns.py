@@ -401,21 +401,25 @@ def speaker_turns(cues: DataFrame, speakers: DataFrame, second: Column, block: i
     """
     names = Names([tuple(r) for r in bounded_rows(speakers.select("speaker_id", "given_name", "family_name", "nickname").where("speaker_id is not null"), MOST_SPEAKERS)])
     sent = Shipped(cues.sparkSession, names)
-    starts = cut(turn_starts(cues, speakers, second, block)).select("*", F.lit(True).alias("starts"))
+    own = F.floor(F.col("i") / F.lit(block)).alias("b")
+    starts = cut(turn_starts(cues, speakers, second, block)).select("id", own, "i", "k", F.struct("i", "k", "speaker_id").alias("turn"))
     rows = cues.select(F.col("video_id").alias("id"), F.col("cue_index").cast("bigint").alias("i"), second.cast("bigint").alias("s"), "text").where("id is not null and i is not null and text is not null")
-    pieces = rows.join(starts.select("id").distinct(), "id", "left_semi").mapInArrow(_pieces(sent), "id string, i bigint, k int, s bigint, piece string")
-    pieces = pieces.groupBy("id", "i", "k").agg(F.min("s").alias("s"), F.min("piece").alias("piece"))
-    pieces = pieces.join(starts, ["id", "i", "k"], "left").withColumn("b", F.floor(F.col("i") / F.lit(block)))
+    rows = rows.join(starts.select("id").distinct(), "id", "left_semi")
+    # What a block's first pieces belong to is the last turn of the blocks before it: a row ahead of them says so.
+    ends = starts.groupBy("id", "b").agg(F.max("turn").alias("carry"))
+    blocks = rows.select("id", own).distinct().join(ends, ["id", "b"], "left")
+    ahead = F.last("carry", ignorenulls=True).over(W.partitionBy("id").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select("id", "b", F.lit(-1).cast("bigint").alias("i"), F.lit(-1).alias("k"), ahead.alias("turn")).where("turn is not null")
+    nothing = (F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("string").alias("piece"))
+    known = starts.unionByName(blocks).select("id", "b", "i", "k", *nothing, "turn")
+    pieces = rows.mapInArrow(_pieces(sent), "id string, i bigint, k int, s bigint, piece string").select("id", own, "i", "k", "s", "piece", F.lit(None).cast(known.schema["turn"].dataType).alias("turn"))
+    # One shuffle brings the pieces of a block together; turns are put together in it before those that go on elsewhere meet.
+    pieces = pieces.unionByName(known).repartition("id", "b").groupBy("id", "b", "i", "k").agg(F.min("s").alias("s"), F.min("piece").alias("piece"), F.max("turn").alias("turn"))
     at = W.partitionBy("id", "b").orderBy("i", "k").rowsBetween(W.unboundedPreceding, 0)
-    begun = F.when(F.col("starts"), F.struct("i", "k", "speaker_id"))
-    pieces = pieces.withColumn("turn", F.last(begun, ignorenulls=True).over(at))
-    # What a block's first pieces belong to is the last turn of the blocks before it.
-    last = starts.groupBy("id", F.floor(F.col("i") / F.lit(block)).alias("lb")).agg(F.max(F.struct("i", "k", "speaker_id")).alias("carry"))
-    blocks = pieces.where("turn is null").select("id", F.col("b").alias("lb")).distinct().withColumn("carry", F.lit(None).cast(last.schema["carry"].dataType)).withColumn("asks", F.lit(True))
-    merged = blocks.unionByName(last.withColumn("asks", F.lit(False)))
-    merged = merged.withColumn("got", F.last("carry", ignorenulls=True).over(W.partitionBy("id").orderBy("lb", F.desc("asks")).rowsBetween(W.unboundedPreceding, 0))).where("asks").select("id", F.col("lb").alias("b"), "got")
-    pieces = pieces.join(merged, ["id", "b"], "left").withColumn("turn", F.coalesce("turn", "got")).where("turn is not null")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece") != "", F.struct("i", "k", "piece")))), lambda x: x["piece"]), " ")
-    out = pieces.groupBy("id", "turn").agg(F.max("i").alias("last_cue"), F.min_by("s", F.struct("i", "k")).alias("start"), text.alias("text"))
+    pieces = pieces.withColumn("turn", F.last("turn", ignorenulls=True).over(at)).where("turn is not null and i >= 0")
+    text = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["piece"]), " ")
+    first = F.struct("i", "k")
+    parts = pieces.groupBy("id", "b", "turn").agg(F.max("i").alias("last_cue"), F.min_by("s", first).alias("s"), text(F.collect_list(F.when(F.col("piece") != "", F.struct("i", "k", "piece")))).alias("piece"))
+    out = parts.groupBy("id", "turn").agg(F.max("last_cue").alias("last_cue"), F.min_by("s", "b").alias("start"), text(F.collect_list(F.when(F.col("piece") != "", F.struct("b", "piece")))).alias("text"))
     number = F.row_number().over(W.partitionBy("id").orderBy("turn"))
     return out.select(F.col("id").alias("video_id"), number.alias("turn_no"), F.col("turn.i").alias("first_cue"), "last_cue", "start", F.col("turn.speaker_id").alias("speaker_id"), "text").withColumnRenamed("turn_no", "turn")
