@@ -155,10 +155,10 @@ def choose(candidates: list[tuple[str, set[str]]], limit: int) -> list[str]:
 
 def concepts(units: DataFrame, keys: list[str], limit: int = 15, stopwords: Iterable[str] = L.STOPWORDS, first: int = 200) -> DataFrame:
     """(keys, rank, name, score, n, frequency, distribution, association, timestamps): at most `limit` a key, scores
-    rounded to six digits, the first five different times. The `first` best candidates of a key are looked at first, more where
+    rounded to six digits, the first five different times. Scores that agree to twelve digits rank as equal. The `first` best candidates of a key are looked at first, more where
     these don't give `limit` concepts."""
     ranked = cut(scored(cut(counted(units, keys, stopwords)), keys))
-    order = W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("n"), F.desc("size"), "first", "name")
+    order = W.partitionBy(*keys).orderBy(F.desc(F.round("score", 12)), F.desc("n"), F.desc("size"), "first", "name")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("r")

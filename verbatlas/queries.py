@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import lexicon as L
 from .functions import text as T
 from .functions.timecode import code, seconds
-from .folds_sql import OVERLAP_SQL, UNITS_SQL
+from .folds_sql import OVERLAP_SQL, UNITS_SQL, concepts_sql, distinct_windows_sql, ideas_sql, sections_sql
 from .operators import captions, concepts, ideas, keywords, library, quality, search, subtitles, tools, units
 from .session import cut, table
 
@@ -424,28 +424,41 @@ def windows_of_all(spark: SparkSession, sf: str) -> DataFrame:
     return units.windows(informative_units(spark, sf), distinct=False).withColumn("fragments", F.to_json("fragments"))
 
 
-@query()
+KEPT_SQL = f"kept AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY position, part) AS k, position, part, second, text, fragments, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS n FROM packed_units WHERE NOT {noise_sql('text')})"
+WINDOWS_SQL = f"{FOLDED_SQL},{UNITS_SQL}, {KEPT_SQL},{distinct_windows_sql(CONTENT_SQL.replace('COLUMN', 'text'), '|'.join(L.NEGATIONS))}"
+
+
+@query(f"{WINDOWS_SQL} SELECT video_id, position, part, second, text, to_json(fragments)::VARCHAR AS fragments FROM wins")
 def packed_windows(spark: SparkSession, sf: str) -> DataFrame:
     return units.windows(informative_units(spark, sf)).withColumn("fragments", F.to_json("fragments"))
 
 
-@query()
+IDEAS_SQL = f"{WINDOWS_SQL},{ideas_sql(L.TERM, STOP, CONTENT_SQL.replace('COLUMN', 'text'), '|'.join(L.NEGATIONS))}"
+
+
+@query(f"{IDEAS_SQL} SELECT video_id, rank, position, part, second, text, to_json(fragments)::VARCHAR AS fragments FROM ideas")
 def ideas_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ideas.ideas(informative_units(spark, sf)).withColumn("fragments", F.to_json("fragments"))
 
 
-@query()
+SECTIONS_SQL = f"{FOLDED_SQL},{UNITS_SQL}, {KEPT_SQL},{sections_sql(L.TERM, STOP, CONTENT_SQL.replace('COLUMN', 'text'), '|'.join(L.NEGATIONS), '|'.join(L.SENTENCE_OPENERS))}"
+
+
+@query(f"{SECTIONS_SQL} SELECT * FROM sections")
 def section_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return ideas.sections(informative_units(spark, sf))
+    return ideas.sections(informative_units(spark, sf)).withColumn("sentences", F.array_join("sentences", " | "))
 
 
 def numbered(found: DataFrame) -> DataFrame:
     return units.in_order(found)
 
 
-@query()
+CONCEPTS_SQL = concepts_sql(STOP, quoted(L.GENERIC_TERMS), quoted(L.GENERIC_ACTIONS), quoted(L.CONNECTORS), quoted(L.DETERMINERS), quoted(L.DESCRIPTORS), L.DESCRIPTIVE_ENDING)
+
+
+@query(f"{FOLDED_SQL},{UNITS_SQL}, packed AS (SELECT * EXCLUDE (unit), position * 1048576 + part AS unit FROM packed_units WHERE NOT {noise_sql('text')}),{CONCEPTS_SQL} SELECT * FROM chosen")
 def concept_select_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return concepts.concepts(numbered(informative_units(spark, sf)), ["video_id"])
+    return concepts.concepts(numbered(informative_units(spark, sf)), ["video_id"]).withColumn("timestamps", F.array_join("timestamps", " "))
 
 
 @query()
