@@ -154,10 +154,10 @@ def places(text: str, names: Names) -> list[tuple[int, int, list[tuple[int, floa
 
 def cleaned(text: str) -> str:
     """Speech without labels' remains, mark-up, annotations and fillers."""
-    t = ANNOTATION.sub(" ", text)
-    t = NOISE.sub(" ", t)
-    t = FILLER.sub("", t)
-    return re.sub(r"^[\s>\-–—,:]+", "", " ".join(t.split()))
+    t = ANNOTATION.sub(" ", text) if any(map(text.__contains__, "<[*♪♫")) else text
+    t = NOISE.sub(" ", t) if "(" in t else t
+    t = FILLER.sub("", t) if "," in t else t
+    return " ".join(t.split()).lstrip(" >-–—,:")
 
 
 def _fillers() -> re.Pattern:
@@ -278,11 +278,15 @@ def _places(sent):
     return run
 
 
+#: Cues that may hold a label or a mark; entities are still encoded.
+MAY = r"^[\s♪♫]*(?:<[^<>]*>\s*)*(?:&nbsp;|&gt;|>>|[-–—])|[:—]|<v[ .]|[\[(]\p{Lu}[\p{L}. ]*[\])]|&gt;"
+
+
 def turn_places(cues: DataFrame, second: Column, names: Names, block: int = BLOCK) -> DataFrame:
     """All places of all cues where a turn may begin, with what the model sees of them."""
     t = F.col("text")
     rows = cues.select(F.col("video_id").alias("id"), F.col("cue_index").cast("bigint").alias("i"), second.cast("bigint").alias("s"), "text").where("id is not null and i is not null and text is not null and trim(text) <> ''")
-    may = t.rlike(r"^[\s♪♫]*(?:<[^<>]*>\s*)*(?:&nbsp;|&gt;|>>|[-–—])|[:—]|<v[ .]|[\[(]\p{Lu}[\p{L}. ]*[\])]|&gt;")
+    may = t.rlike(MAY)
     rows = rows.select("id", "i", "s", F.floor(F.col("i") / F.lit(block)).alias("b"), t.rlike(r"[.!?…][\s\p{Pe}»”]*$").alias("ended"), F.when(may, t).alias("t"))
     at = W.partitionBy("id", "b").orderBy("i", "s", "t")
     rows = rows.select("*", F.lag("i").over(at).alias("pi"), (F.col("s") - F.lag("s").over(at)).alias("gap"), F.coalesce(F.lag("ended").over(at), F.lit(True)).alias("end"))
@@ -378,9 +382,9 @@ def _pieces(sent):
         names: Names = sent.value
         for batch in batches:
             out: list[tuple] = []
-            for v, i, s, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for v, i, s, raw, may in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 text = html.unescape(raw)
-                found = places(text, names)
+                found = places(text, names) if may else []
                 edges = [(0, -1), *((b, k) for k, (_, b, _) in enumerate(found))]
                 stops = [*(a for a, _, _ in found), len(text)]
                 out += [(v, i, k, s, piece) for (a, k), b in zip(edges, stops) if (piece := cleaned(text[a:b])) or k >= 0]
@@ -404,10 +408,12 @@ def speaker_turns(cues: DataFrame, speakers: DataFrame, second: Column, block: i
     own = F.floor(F.col("i") / F.lit(block)).alias("b")
     starts = cut(turn_starts(cues, speakers, second, block)).select("id", own, "i", "k", F.struct("i", "k", "speaker_id").alias("turn"))
     rows = cues.select(F.col("video_id").alias("id"), F.col("cue_index").cast("bigint").alias("i"), second.cast("bigint").alias("s"), "text").where("id is not null and i is not null and text is not null")
-    rows = rows.join(starts.select("id").distinct(), "id", "left_semi")
+    # Videos without turns are left out by block, so that an endless one is many groups.
+    there = rows.select("id", own).distinct().join(starts.select("id").distinct(), "id", "left_semi")
+    rows = rows.withColumn("b", own).join(there, ["id", "b"], "left_semi").select("id", "i", "s", "text", F.col("text").rlike(MAY).alias("may"))
     # What a block's first pieces belong to is the last turn of the blocks before it: a row ahead of them says so.
     ends = starts.groupBy("id", "b").agg(F.max("turn").alias("carry"))
-    blocks = rows.select("id", own).distinct().join(ends, ["id", "b"], "left")
+    blocks = there.join(ends, ["id", "b"], "left")
     ahead = F.last("carry", ignorenulls=True).over(W.partitionBy("id").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
     blocks = blocks.select("id", "b", F.lit(-1).cast("bigint").alias("i"), F.lit(-1).alias("k"), ahead.alias("turn")).where("turn is not null")
     nothing = (F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("string").alias("piece"))
