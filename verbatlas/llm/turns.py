@@ -351,7 +351,7 @@ def turn_starts(cues: DataFrame, speakers: DataFrame, second: Column, block: int
         sample.setdefault(r.id, []).append((dict(zip(r.who, r.score)), r.marked, r.pause, r.runs_on))
     sent = Shipped(spark, learn([(e, chosen[v]) for v, e in sample.items()]))
     blocks = events.repartition("id", "b").sortWithinPartitions("id", "b", "i", "k")
-    found = blocks.mapInArrow(_decode(sent), "id string, b bigint, before int, after int, i array<bigint>, k array<int>, w array<int>")
+    found = cut(blocks.mapInArrow(_decode(sent), "id string, b bigint, before int, after int, i array<bigint>, k array<int>, w array<int>"))
     return _chained(found).select("id", F.explode(F.arrays_zip("i", "k", "w")).alias("x")).select("id", "x.i", "x.k", F.col("x.w").alias("speaker_id"))
 
 
