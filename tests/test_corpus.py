@@ -116,3 +116,54 @@ def test_files(spark, result, tmp_path):
     assert {c["name"] for c in json.loads(read("concepts.json"))} == {r.name for r in result["concepts"].collect()}
     with pytest.raises(Exception, match="plain name"):
         publish(spark.createDataFrame([("..", "x", "y")], "video_id string, file string, content string"), str(tmp_path))
+
+
+def test_a_baseline_belongs_to_its_corpus(spark, tmp_path):
+    import hashlib
+
+    from verbatlas.errors import AppError, QualityCorpusError
+
+    assert Q.digest(b"corpus", [("a", b"one"), ("b", b"two")]) == hashlib.sha256(b"corpusaonebtwo").hexdigest()
+    rows = [("a", *[0.5] * len(Q.METRICS), 1, 2, 3), ("b", *[1.0] * len(Q.METRICS), 1, 2, 3)]
+    report = spark.createDataFrame(rows, ["case_id", *Q.METRICS, "ideas", "questions", "concepts"])
+    head = {"metric_version": 3, "corpus_schema_version": 2, "corpus_digest": "x", "analysis_format_version": 3}
+    payload = Q.report_payload(report, **head)
+    assert payload["cases"]["a"]["metrics"]["topic_coverage"] == 0.5 and payload["cases"]["b"]["ideas"] == 1 and payload["macro"]["concept_precision"] == 0.75
+    Q.same_corpus(payload, json.loads(json.dumps(payload)))
+    for wrong in ({"metric_version": 2}, {"corpus_digest": "y"}, {"cases": {"a": 1}}):
+        with pytest.raises(QualityCorpusError):
+            Q.same_corpus(payload, payload | wrong)
+    assert issubclass(QualityCorpusError, AppError)
+
+
+@pytest.mark.parametrize("change", [{"topics": []}, {"noise_rules": [{"id": "n", "scope": "titles", "aliases": ["x"], "max_occurrences": 0}]}, {"noise_rules": [{"id": "n", "scope": "ideas", "aliases": ["x"], "max_occurrences": -1}]}, {"question_targets": [{"id": "q", "category": "otras", "prompt_groups": [["x"]], "answer_groups": [["x"]], "timestamps": ["00:00:01"]}]}])
+def test_corpora_are_checked(spark, tmp_path, change):
+    from verbatlas.errors import QualityCorpusError
+
+    case = {
+        "id": "c", "profile": "p", "vtt": "c.vtt", "topics": [{"id": "t", "aliases": ["x"], "timestamps": ["00:00:01"]}], "standalone_claims": [{"id": "s", "marker_groups": [["x"]], "timestamps": ["00:00:01"]}],
+        "noise_rules": [{"id": "n", "scope": "ideas", "aliases": ["x"], "max_occurrences": 0}], "question_targets": [{"id": "q", "category": "basicas", "prompt_groups": [["x"]], "answer_groups": [["x"]], "timestamps": ["00:00:01"]}],
+        "concept_targets": [{"id": "k", "aliases": ["x"], "timestamps": ["00:00:01"], "compound": False}],
+    }
+    path = tmp_path / "corpus.json"
+    path.write_text(json.dumps({"schema_version": 2, "cases": [case]}))
+    assert S.read_corpus(spark, str(path)).count() == 1
+    path.write_text(json.dumps({"schema_version": 2, "cases": [case | change]}))
+    with pytest.raises(QualityCorpusError):
+        S.read_corpus(spark, str(path))
+
+
+def test_nothing_is_published_unless_all_can_be(spark, tmp_path):
+    from verbatlas.errors import ArtifactPublicationError, VideoDataError
+    from verbatlas.sources.artifacts import publish
+
+    rows = lambda *x: spark.createDataFrame(list(x), "video_id string, file string, content string")
+    good = ("v", "a.md", "text")
+    for bad, error in ((("v", "../b", "x"), ValueError), (("v", "", "x"), ValueError), (("v", "b.md", None), VideoDataError), (good, ValueError)):
+        with pytest.raises(error):
+            publish(rows(good, bad), str(tmp_path))
+    assert list(tmp_path.iterdir()) == []
+    assert publish(rows(good), str(tmp_path)) == 1 and (tmp_path / "v" / "a.md").read_text() == "text"
+    (tmp_path / "w").write_text("in the way of a folder")
+    with pytest.raises(ArtifactPublicationError):
+        publish(rows(("w", "a.md", "text")), str(tmp_path))

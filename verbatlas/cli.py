@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import quality
 from .plans import service
-from .plans.analysis import analyze
-from .session import local_session
+from .plans.analysis import FORMAT, analyze
+from .session import cut, local_session
 from .sources import files
 
 
@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("folder")
     a.add_argument("--catalog", required=True)
     a.add_argument("--lang", default="es,en")
+    a.add_argument("--video", help="only this one")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--video")
@@ -62,7 +63,7 @@ def run(argv: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     if args.command == "analyze":
         catalog, _ = files.read_catalog(spark, args.catalog)
-        print(service.analyze_folder(spark, args.folder, catalog, service.requested_languages(args.lang)), "files")
+        print(service.analyze_folder(spark, args.folder, catalog, service.requested_languages(args.lang), video_id=args.video), "files")
     elif args.command == "rebuild-library":
         n, skipped = service.rebuild(spark, args.library, args.folder)
         print(n, "entries", *(f"\nskipped {x}" for x in skipped))
@@ -83,16 +84,19 @@ def run(argv: list[str]) -> int:
         import os
 
         catalog, _ = files.read_catalog(spark, args.catalog)
-        targets = files.read_corpus(spark, args.corpus)
+        targets = cut(files.read_corpus(spark, args.corpus))
         base = os.path.dirname(os.path.abspath(args.corpus))
         cases = [(r.case_id, "/" + os.path.join(base, r.vtt).lstrip("/")) for r in targets.select("case_id", "vtt").collect()]
         owner = spark.createDataFrame(cases, "video_id string, path string")
         texts = files.text_files(spark, [p for _, p in cases]).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
         cues = files.parse_vtt(texts).join(owner, "path").select("video_id", "cue_index", "second", "text")
-        report = quality.evaluate(analyze(cues, catalog), targets)
-        for r in quality.long_metrics(report).orderBy("location", "metric").collect():
-            print(r.location, r.metric, r.value)
+        report = cut(quality.evaluate(analyze(cues, catalog), targets))
+        read = lambda path: open(path, "rb").read()  # noqa: E731, SIM115
+        head = {"metric_version": quality.METRIC_VERSION, "corpus_schema_version": quality.CORPUS_VERSION, "corpus_digest": quality.digest(read(args.corpus), ((c, read(path)) for c, path in cases)), "analysis_format_version": FORMAT}
+        payload = quality.report_payload(report, **head)
+        print(json.dumps(payload, ensure_ascii=False, indent=2))
         if args.baseline:
+            quality.same_corpus(payload, json.loads(read(args.baseline)))
             worse = quality.regressions(quality.long_metrics(report), files.read_baseline(spark, args.baseline)).collect()
             for r in worse:
                 print(f"{r.location}.{r.metric}: actual={r.actual}, baseline={r.baseline}")

@@ -1,5 +1,6 @@
 """The word lists and patterns that decide which words and phrases count. All are Spanish,
-as the transcripts they were made for; every operator takes its list as a parameter."""
+as the transcripts they were made for. Operators that weigh words (keywords, tools, concepts, topics) take their stopwords as a
+parameter; the rules of noise, fillers, claims and advice read their phrases here."""
 
 STOPWORDS = frozenset(
     """

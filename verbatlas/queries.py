@@ -385,18 +385,6 @@ def json_validate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("props is not null").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""
-SELECT card_id, any_value(question) AS front, any_value(answer || CASE WHEN coalesce(ts, '') = '' THEN '' ELSE '<br><br>Referencia: ' || ts END) AS back, any_value('video::' || video_id || CASE WHEN coalesce(tags, '') = '' THEN '' ELSE ' ' || tags END) AS tags
-FROM flashcards WHERE answer IS NOT NULL GROUP BY card_id HAVING count(DISTINCT (question, answer, ts, tags, video_id)) = 1
-""")
-def anki_rows(spark: SparkSession, sf: str) -> DataFrame:
-    from .sources.artifacts import anki_card
-
-    cards = table(spark, sf, "flashcards").where("answer is not null").select("card_id", "video_id", "question", "answer", "ts", "tags")
-    one = cards.groupBy("card_id").agg(F.countDistinct(F.struct(*[F.coalesce(c, F.lit("\u0001")) for c in ("question", "answer", "ts", "tags", "video_id")])).alias("k"), F.min(F.struct("video_id", "question", "answer", "ts", "tags")).alias("x")).where("k = 1").select("card_id", "x.*")
-    return anki_card(one.withColumn("channel", F.lit(None).cast("string")).withColumn("url", F.lit(None).cast("string"))).select("card_id", "front", "back", "tags")
-
-
 FOLDED_SQL = f"WITH RECURSIVE {TIMED_SQL},{OVERLAP_SQL}"
 
 
@@ -484,16 +472,17 @@ def conditional_questions(spark: SparkSession, sf: str) -> DataFrame:
     return timed_cues(spark, sf).select("video_id", "cue_index", T.conditional_question(F.col("text")).alias("question")).where("question is not null")
 
 
+# Numbers next to each other with one mark between them pair up from the left: 1.2.3 is 1.2 and 3.
 @query("""
-SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(' ' || text || ' ', '([^\\p{L}\\p{N}_.,])', '\\1\\1', 'g'), '[^\\p{L}\\p{N}_](\\p{Nd}+(?:[.,]\\p{Nd}+)?)[^\\p{L}\\p{N}_]', 1))), ' ') AS numbers
-FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '\\p{Nd}[.,][^\\p{Nd}]|[.,]\\p{Nd}|\\p{Nd}[.,]$|[^\\x00-\\x7F]\\p{Nd}')
-UNION ALL SELECT doc_id, '' FROM documents WHERE text = ''
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w, regexp_split_to_array(text, '[\\p{L}\\p{N}_]+') AS s FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(w) AS w, unnest(s[1:len(w)]) AS gap, generate_subscripts(w, 1) AS k FROM t),
+d AS (SELECT *, regexp_full_match(w, '[0-9]+') AS d, coalesce(regexp_full_match(lag(w) OVER (PARTITION BY doc_id ORDER BY k), '[0-9]+'), false) AND gap IN ('.', ',') AND regexp_full_match(w, '[0-9]+') AS link FROM u),
+c AS (SELECT *, sum(CASE WHEN link THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS chain FROM d),
+n AS (SELECT doc_id, w || coalesce(lead(gap) OVER x || lead(w) OVER x, '') AS number, row_number() OVER x AS pos FROM c WHERE d WINDOW x AS (PARTITION BY doc_id, chain ORDER BY k))
+SELECT doc_id, coalesce(numbers, '') AS numbers FROM t LEFT JOIN (SELECT doc_id, array_to_string(list_sort(list_distinct(list(number))), ' ') AS numbers FROM n WHERE pos % 2 = 1 GROUP BY 1) USING (doc_id)
 """)
 def number_markers(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts whose numbers have a mark next to them are left to test_text: RE2 can't be told where such a number ends."""
-    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
-    odd = F.col("text").rlike(r"\p{Nd}[.,][^\p{Nd}]|[.,]\p{Nd}|\p{Nd}[.,]$|[^\x00-\x7F]\p{Nd}")
-    return rows.where(~odd).select("doc_id", F.array_join(T.numbers(F.col("text")), " ").alias("numbers")).unionByName(rows.where("text = ''").select("doc_id", F.lit("").alias("numbers")))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.array_join(T.numbers(F.col("text")), " ").alias("numbers"))
 
 
 @query("""
@@ -515,7 +504,7 @@ def caption_lines_merged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TIMED_SQL}, t AS (SELECT * FROM timed WHERE NOT regexp_matches(text, '-->|^(WEBVTT|Kind:|Language:|NOTE)|^[0-9]+$'))
+WITH {TIMED_SQL}, t AS (SELECT * FROM timed WHERE NOT regexp_matches(text, '-->|^(WEBVTT|Kind:|Language:|NOTE)|^[0-9]+$')) -- what a file can't hold as text of a cue
 SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY cue_index) - 1 AS cue_index, second, md5(text) AS digest FROM t
 """)
 def vtt_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -523,7 +512,7 @@ def vtt_scan(spark: SparkSession, sf: str) -> DataFrame:
     from .sources.artifacts import joined
     from .sources.files import parse_vtt
 
-    rows = timed_cues(spark, sf).where(~F.col("text").rlike(r"-->|^(?:WEBVTT|Kind:|Language:|NOTE)|^[0-9]+$"))
+    rows = timed_cues(spark, sf)
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     # What looks like a tag once it is decoded would go.
     block = F.concat((F.col("cue_index") + 1).cast("string"), F.lit("\n"), code(F.col("second")), F.lit(".500 --> 99:00:00.000\n"), F.when(F.col("text").rlike("<[^>]+>"), F.col("text")).otherwise(escaped), F.lit("\n"))
@@ -633,7 +622,7 @@ u AS (SELECT *, CASE WHEN regexp_matches(url, '^https?://') AND second IS NOT NU
 SELECT card_id, question AS front, answer || CASE WHEN ts = '' THEN '' ELSE '<br><br>Referencia: ' || CASE WHEN link IS NULL THEN ts ELSE '<a href="' || replace(link, '&', '&amp;') || '">' || ts || '</a>' END END AS back,
   'video::' || video_id || CASE WHEN trim(coalesce(channel, '')) = '' THEN '' ELSE ' channel::' || regexp_replace(trim(channel), '\\s+', '_', 'g') END || CASE WHEN tags = '' THEN '' ELSE ' ' || tags END AS tags FROM u
 """)
-def anki_rows_linked(spark: SparkSession, sf: str) -> DataFrame:
+def anki_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Cards with their video's channel and URL; of differing deliveries of a card the least counts."""
     from .sources.artifacts import anki_card
 
