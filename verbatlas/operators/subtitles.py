@@ -24,7 +24,7 @@ def language_rank(language: Column, wanted: Column) -> Column:
 
 def url_parameter(url: Column, name: str) -> Column:
     """The last value, if not empty, that a URL's query gives a parameter; null without one."""
-    values = F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(rf"(?:^|&){name}=([^&]+)"), F.lit(1))
+    values = F.regexp_extract_all(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), F.lit(rf"(?:^|&){name}=([^&]+)"), F.lit(1))
     return F.try_element_at(values, F.lit(-1))
 
 
