@@ -120,6 +120,26 @@ def test_concepts(spark):
     assert "base" not in got and "datos" not in got and "riego profundo" in got
 
 
+def test_concepts_of_large_keys_are_the_same(spark):
+    """What is counted in parts gives what one pass over a key gives, also where the first best candidates don't suffice."""
+    said = "El panel solar lento guarda energía; una bomba pequeña del jardín, la base de datos con índices y el riego profundo de raíces ayuda - no falla".split(" ")
+    rows = [(f"v{v}", k, v, k * 7 % 40, " ".join(said[(k * 3 + v) % 9 : (k * 5 + v) % 9 + 9])) for v in range(3) for k in range(12 * (v + 1))]
+    df = spark.createDataFrame([*rows, (None, 0, 0, 1, "sin clave")], "video_id string, p bigint, q int, second bigint, text string").select("video_id", F.struct("p", "q").alias("unit"), "second", "text")
+    parts = df.withColumn("fragments", F.expr("array(struct(second as second, split_part(text, ' ', 1) as text), struct(second - 30 as second, substr(text, instr(text, ' ') + 1) as text))"))
+    for units_of in (df, parts):
+        whole = sorted(map(str, concepts.concepts(units_of, ["video_id"]).collect()))
+        assert len(whole) > 20
+        assert sorted(map(str, concepts.concepts(units_of, ["video_id"], many=20).collect())) == whole
+        assert sorted(map(str, concepts.concepts(units_of, ["video_id"], many=0, first=3).collect())) == sorted(map(str, concepts.concepts(units_of, ["video_id"], first=3).collect())) == whole
+
+
+def test_concepts_of_few_units_shuffle_no_ngrams(spark):
+    """A key of few units is counted where its units are: the plan joins and sends no n-grams."""
+    df = spark.createDataFrame([("v", k, k, "la base de datos guarda pedidos lentos") for k in range(5)], "video_id string, unit int, second bigint, text string")
+    plan = concepts.concepts(df, ["video_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_library(spark):
     entry = "id string, title string, channel string, duration double, url string, path string, tools array<string>, created_at string, updated_at string"
     old = spark.createDataFrame([("a", "A", None, 1.0, None, "p", ["x"], "c1", "u1"), ("b", "B", None, None, None, "p", [], None, None)], entry)
