@@ -1,6 +1,7 @@
 import pytest
 
 from verbatlas.llm import pairs as P
+from verbatlas.session import cut
 
 EN = ["the pump checks the amount of water before the winter comes", "the old printer stores a coat of paint in the cupboard", "a cheap sensor avoids the loose screws because of the wind", "the kitchen clock covers the missing pieces with a lot of patience"]
 ES = ["la bomba revisa el consumo de agua antes de que llegue el invierno", "la impresora antigua guarda una capa de pintura en el armario", "un sensor barato evita los tornillos sueltos por culpa del viento", "el reloj de cocina cubre las piezas que faltan con mucha paciencia"]
@@ -63,6 +64,28 @@ def test_counts_are_of_all_pairs(spark):
     assert got["word", "pump"] == 101 and got["ends", "winter comes"] == 101 and got["refused", ""] == 1
 
 
+def test_counts_that_are_not_held_are_looked_up(spark, sf_dir, monkeypatch):
+    """Defects don't depend on how many counts the models hold."""
+    q = spark.read.parquet(f"{sf_dir}/study_questions.parquet").selectExpr("'q' kind", "question_id id", "video_id", "question", "answer").limit(700)
+    more = [("q", None, "v", "Why?", "The pump checks the amount of wat"), ("q", -1, "v", None, EN[0]), (None, -1, "v", "Why?", ES[0] + " y")]
+    q = cut(q.unionByName(spark.createDataFrame(more, ", ".join(f"{c} {k}" for c, k in q.dtypes))))
+    labels = spark.read.parquet(f"{sf_dir}/subtitles.parquet")
+    whole = sorted(map(str, P.defects(q, labels).collect()))
+    assert len({r.rpartition("defect=")[2] for r in whole}) > 3
+    for most in (3, 100):
+        monkeypatch.setattr(P, "MOST_COUNTS", most)
+        got = P.counted(q)
+        assert got.large == {"said", "ends", "word", "chars"} and len(got) <= 5 * most + 2 and len(got.chars) == most
+        assert sorted(map(str, P.defects(q, labels).collect())) == whole
+
+
+def test_neighbours_dont_count():
+    """What a text is like doesn't depend on those judged along with it."""
+    languages = models()[0]
+    texts = [*EN, "", "x", *ES, ""]
+    assert all((languages.logs(texts)[k] == languages.logs([t])[0]).all() for k, t in enumerate(texts))
+
+
 def test_without_any_sample():
     none = P.LanguageBayes.trained([]), P.Endings([]), P.Refusals([])
     assert P.judge("Why?", "Because it is so.", *none) is None and P.judge("Why?", "", *none) == "empty"

@@ -15,6 +15,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from .runs import in_order
 #: Labelled questions and as many answers of each language that the languages are fitted on, taken by hash. Endings and refusals are counted over all pairs.
 #: Longer pairs than LONGEST characters are in no sample.
 SAMPLE_LANGUAGE, LONGEST = 900, 4000
-#: Words, n-grams and their like of each kind that the models hold, the most frequent of all pairs.
+#: Words, n-grams and their like of each kind that the models hold, the most frequent of all pairs. The rest is joined to the pairs that ask for it.
 MOST_COUNTS = 400_000
 
 # What stands in for an answer that isn't there, letters and blanks only.
@@ -112,16 +114,21 @@ def is_copied(question: str, answer: str) -> bool:
 class Refusals:
     """Naive Bayes over words and pairs of words of a sample; what has a phrase of REFUSALS is the first truth."""
 
-    def __init__(self, answers: list[str], counted: Counter | None = None):
-        """From answers, or from what `count` gives, added up over all answers."""
+    def __init__(self, answers: list[str], counted: Counter | None = None, totals: tuple[int, int, int] | None = None):
+        """From answers, or from what `count` gives, added up over all answers. totals: how many different parts there are and the
+        sums of the counts of both kinds, where `counted` hasn't all."""
         got = self.count(answers) if counted is None else counted
         counts = {said: Counter({w: n for (x, w), n in got.items() if w and x == ("refused" if said else "said")}) for said in (True, False)}
         n = {True: got["refused", ""], False: got["said", ""]}
         known = set(counts[True]) | set(counts[False])
-        total = {k: sum(c.values()) + 0.5 * len(known) for k, c in counts.items()}
-        self.odds = {w: math.log((counts[True][w] + 0.5) / total[True]) - math.log((counts[False][w] + 0.5) / total[False]) for w in known if counts[True][w] or counts[False][w] > 1}
+        different, refused, said = totals or (len(known), sum(counts[True].values()), sum(counts[False].values()))
+        self.total = refused + 0.5 * different, said + 0.5 * different
+        self.odds = {w: self.odds_of(counts[True][w], counts[False][w]) for w in known if counts[True][w] or counts[False][w] > 1}
         self.prior = math.log((n[True] + 1) / (n[False] + 1))
 
+    def odds_of(self, refused: int, said: int) -> float:
+        return math.log((refused + 0.5) / self.total[0]) - math.log((said + 0.5) / self.total[1])
+
     @classmethod
     def count(cls, answers: list[str]) -> Counter:
         """Answers that have a part, by (whether one has a phrase of REFUSALS, part); of part "", all."""
@@ -166,7 +173,9 @@ class LanguageBayes:
         if not texts or not self.languages:
             return np.zeros((len(texts), len(self.languages)))
         symbols, starts = encode([t.lower() for t in texts])
-        return np.add.reduceat(self.table[grams(symbols)], starts, axis=0, dtype=np.float64)
+        codes = grams(symbols)
+        codes[starts[1:] - 1] &= ~63  # a text ends where it ends, whichever comes next
+        return np.add.reduceat(self.table[codes], starts, axis=0, dtype=np.float64)
 
     @classmethod
     def trained(cls, rows: list[tuple[str, str]], rounds: int = 2) -> LanguageBayes:
@@ -186,20 +195,16 @@ class LanguageBayes:
 class Endings:
     """How likely a text ends after its last words, and a word after its last characters."""
 
-    def __init__(self, texts: list[str], order: int = 3, letters: int = 12, counted: Counter | None = None):
-        """From texts, or from what `count` gives, added up over all texts."""
+    def __init__(self, texts: list[str], order: int = 3, letters: int = 12, counted: Counter | None = None, chars: dict[str, tuple[int, int]] | None = None):
+        """From texts, or from what `count` gives, added up over all texts. chars: what `endings_of` gives, where `counted` hasn't all words."""
         self.order, self.letters = order, letters
-        word_ends, word_goes = Counter(), Counter()
         got = self.count(texts, order) if counted is None else counted
         ends, goes = (Counter({tuple(x.split(" ")): n for (kind, x), n in got.items() if kind == which}) for which in ("ends", "goes"))
         vocabulary = Counter({x: n for (kind, x), n in got.items() if kind == "word"})
-        for w, n in vocabulary.items():
-            w = "^" + w
-            for k in range(1, len(w) + 1):
-                for m in {min(k, x) for x in range(2, letters + 1)}:
-                    (word_ends if k == len(w) else word_goes)[w[k - m : k]] += n
+        if chars is None:
+            chars = self.endings_of(vocabulary.items(), letters)
         self.at = {c: (ends[c], ends[c] + goes[c]) for c in set(ends) | set(goes)}
-        self.chars = {c: (word_ends[c], word_ends[c] + word_goes[c]) for c in set(word_ends) | set(word_goes) if word_ends[c] + word_goes[c] > 1}
+        self.chars = {c: (a, a + b) for c, (a, b) in chars.items() if a + b > 1}
         self.vocabulary = {w for w, n in vocabulary.items() if n > 1}
 
     @classmethod
@@ -222,6 +227,17 @@ class Endings:
                         into.append(w)
         return Counter({(kind, x): n for kind, each in uses.items() for x, n in Counter(each).items()})
 
+    @staticmethod
+    def endings_of(words: Iterable[tuple[str, int]], letters: int = 12) -> dict[str, tuple[int, int]]:
+        """How often words (word, n) end after characters and how often they go on."""
+        ends, goes = Counter(), Counter()
+        for w, n in words:
+            w = "^" + w
+            for k in range(1, len(w) + 1):
+                for m in {min(k, x) for x in range(2, letters + 1)}:
+                    (ends if k == len(w) else goes)[w[k - m : k]] += n
+        return {c: (ends[c], goes[c]) for c in set(ends) | set(goes)}
+
     @staticmethod
     def sentences(text: str) -> Iterator[tuple[list[tuple[str, bool]], bool]]:
         """(words with whether a comma follows, whether a final mark closes the sentence)."""
@@ -252,6 +268,23 @@ class Endings:
                 return (e + 0.1) / (total + 1), whole
         return 0.5, whole
 
+    @staticmethod
+    def bare_end(text: str) -> str:
+        return ELLIPSIS.sub("", text).rstrip("…. ")
+
+    def asked(self, answer: str) -> list[str]:
+        """What `last` may look up of an answer and isn't held, by "kind part"."""
+        found = list(self.sentences(self.bare_end(unmarked(answer).rstrip())))
+        if not found:
+            return []
+        words = [w for w, _ in found[-1][0]]
+        word = "^" + words[-1]
+        tails = (words[-n:] for n in range(1, min(self.order, len(words)) + 1))
+        out = [f"ends {' '.join(x)}" for x in tails if tuple(x) not in self.at]
+        if words[-1] not in self.vocabulary:
+            out += [f"word {words[-1]}", *(f"chars {word[-m:]}" for m in range(2, min(len(word), self.letters) + 1) if word[-m:] not in self.chars)]
+        return out
+
     def is_truncated(self, answer: str) -> bool:
         t = unmarked(answer).rstrip()
         if re.search(r"[,;:\-–—(\[{«“¿¡/&]$", t):
@@ -261,7 +294,7 @@ class Endings:
             return True
         if FINAL.search(t) and not ELLIPSIS.search(t):
             return False
-        end, whole = self.last(ELLIPSIS.sub("", t).rstrip("…. "))
+        end, whole = self.last(self.bare_end(t))
         return end < 0.08 or (whole < 0.1 and end <= 0.5)
 
 
@@ -296,9 +329,23 @@ def judge(question: str | None, answer: str | None, languages: LanguageBayes, en
     return judge_all([(question, answer)], languages, endings, refusals, sure)[0]
 
 
-def counted(pairs: DataFrame) -> Counter:
-    """What Endings and Refusals count, over all pairs. Counts are added up batch by batch before they are shuffled,
-    and only complete ones are pruned: of each kind the MOST_COUNTS most frequent are kept."""
+class Counts(Counter):
+    """What Endings and Refusals count, by (kind, part). Where it is too much to hold, the most frequent are here, rest (key, a, b) has all
+    that may be asked for by "kind part", large names the kinds it has, and totals and chars are those of all."""
+
+    rest: DataFrame | None = None
+    large: frozenset[str] = frozenset()
+    totals: tuple[int, int, int] | None = None
+    chars: dict[str, tuple[int, int]] | None = None
+
+
+#: Kinds of counts that are asked for together, as (a, b).
+TOGETHER = {"said": ("refused", "said"), "ends": ("ends", "goes"), "word": ("word", "")}
+
+
+def counted(pairs: DataFrame) -> Counts:
+    """What Endings and Refusals count, over all pairs. Counts are added up batch by batch before they are shuffled. Of each kind that has more
+    than MOST_COUNTS the most frequent are collected, the others stay in a table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -306,16 +353,75 @@ def counted(pairs: DataFrame) -> Counter:
             total = Endings.count(answers + [q for q in f["question"] if q]) + Refusals.count(answers)
             yield pd.DataFrame({"kind": [k for k, _ in total], "x": [x for _, x in total], "n": list(total.values())})
 
+    def letters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = Endings.endings_of(zip(f["x"], f["n"].tolist()))
+            yield pd.DataFrame({"x": list(got), "a": [a for a, _ in got.values()], "b": [b for _, b in got.values()]})
+
     each = pairs.select("question", "answer").mapInPandas(run, "kind string, x string, n bigint")
     sums = cut(each.groupBy("kind", "x").agg(F.sum("n").alias("n")))
     size = {r.kind: r["count"] for r in sums.groupBy("kind").count().collect()}
-    large = [kind for kind, n in size.items() if n > MOST_COUNTS]
-    out = Counter({(r.kind, r.x): r.n for r in sums.where(~F.col("kind").isin(large)).collect()})
+    large = [kind for kind, own in TOGETHER.items() if max(size.get(k, 0) for k in own) > MOST_COUNTS]
+    out = Counts({(r.kind, r.x): r.n for r in sums.where(~F.col("kind").isin([k for kind in large for k in TOGETHER[kind]])).collect()})
+    if not large:
+        return out
+    tables = []
     for kind in large:
-        out.update({(kind, r.x): r.n for r in sums.where(F.col("kind") == kind).orderBy(F.desc("n"), "x").limit(MOST_COUNTS).collect()})
+        first, second = TOGETHER[kind]
+        n = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+        tables.append(sums.where(F.col("kind").isin(first, second)).groupBy("x").agg(n(first).alias("a"), n(second).alias("b")).select(F.lit(kind).alias("of"), "x", "a", "b"))
+    if "word" in large:
+        tables.append(sums.where("kind = 'word'").select("x", "n").mapInPandas(letters, "x string, a bigint, b bigint").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(F.lit("chars").alias("of"), "x", "a", "b"))
+    both = cut(reduce(DataFrame.unionByName, tables))
+    # Of what occurs once only a single word's end and a part of a refusal are ever looked at.
+    out.rest = both.where("a + b > 1 or (of = 'ends' and not contains(x, ' ')) or (of = 'said' and a > 0)").select(F.concat_ws(" ", "of", "x").alias("key"), "a", "b")
+    out.large = frozenset([*large, *(["chars"] if "word" in large else [])])
+    for kind in out.large:
+        top = both.where(F.col("of") == kind).orderBy(F.desc(F.col("a") + F.col("b")), "x").limit(MOST_COUNTS).collect()
+        if kind == "chars":
+            out.chars = {r.x: (r.a, r.b) for r in top}
+        else:
+            out.update({(k, r.x): n for r in top for k, n in zip(TOGETHER[kind], (r.a, r.b)) if n})
+    if "said" in large:
+        r = both.where("of = 'said' and x <> ''").agg(F.count("*"), F.sum("a"), F.sum("b")).first()
+        out.totals = r[0], r[1] or 0, r[2] or 0
+        # Of "" there are all answers.
+        out.update({(k, ""): n for r in both.where("of = 'said' and x = ''").collect() for k, n in zip(TOGETHER["said"], (r.a, r.b)) if n and (k, "") not in out})
     return out
 
 
+def asked(answer: str | None, endings: Endings, refusals: Refusals, large: frozenset[str]) -> list[str]:
+    """Keys of Counts.rest that an answer's judgement may depend on."""
+    if is_empty(answer):
+        return []
+    out = [f"said {x}" for x in refusals.parts(plain_words(answer)) if x not in refusals.odds] if "said" in large else []
+    return out + [k for k in endings.asked(answer) if k.partition(" ")[0] in large]
+
+
+@contextmanager
+def knowing(rest: Iterable[tuple[str, int, int]], endings: Endings, refusals: Refusals) -> Iterator[None]:
+    """Models that know rest (key, a, b) too, for a while."""
+    added: list[tuple[dict | set, str | tuple]] = []
+    for key, a, b in rest:
+        kind, _, x = key.partition(" ")
+        if kind == "word":
+            into, at = endings.vocabulary, x
+        else:
+            into, at = {"said": refusals.odds, "ends": endings.at, "chars": endings.chars}[kind], tuple(x.split(" ")) if kind == "ends" else x
+        if at in into:
+            continue
+        added.append((into, at))
+        if kind == "word":
+            into.add(at)
+        else:
+            into[at] = refusals.odds_of(a, b) if kind == "said" else (a, a + b)
+    try:
+        yield
+    finally:
+        for into, at in added:
+            into.discard(at) if isinstance(into, set) else into.pop(at)
+
+
 def defects(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(kind, id, question, answer, defect) with one row per pair, defect null where it is sound.
 
@@ -343,7 +449,7 @@ def defects(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             few = each.withColumn("k", F.row_number().over(W.partitionBy("lang", "side").orderBy("h", "t"))).where(F.col("k") <= SAMPLE_LANGUAGE)
             texts = sorted((r.lang, r.t) for r in few.select("lang", "t").collect())
     got = counted(pairs)
-    models = LanguageBayes.trained(texts), Endings([], counted=got), Refusals([], got)
+    models = LanguageBayes.trained(texts), Endings([], counted=got, chars=got.chars), Refusals([], got, got.totals)
     sent = Shipped(spark, models)
 
     @F.pandas_udf("string")
@@ -352,4 +458,26 @@ def defects(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         for q, a in batches:
             yield pd.Series(judge_all(zip(q, a), *models), dtype=object)
 
-    return base.select("kind", "id", "question", "answer", defect("question", "answer").alias("defect"))
+    if got.rest is None:
+        return base.select("kind", "id", "question", "answer", defect("question", "answer").alias("defect"))
+    large = got.large
+
+    @F.pandas_udf("array<string>")
+    def lacking(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _, endings, refusals = sent.value
+        for a in batches:
+            yield pd.Series([asked(x, endings, refusals, large) for x in a], dtype=object)
+
+    @F.pandas_udf("string")
+    def defect_with(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        models = sent.value
+        for q, a, more in batches:
+            rest = [(r["key"], r["a"], r["b"]) for x in more if x is not None for r in x]
+            with knowing(rest, *models[1:]):
+                yield pd.Series(judge_all(zip(q, a), *models), dtype=object)
+
+    base = cut(base.withColumn("_id", F.xxhash64("kind", "id")))
+    wanted = base.select("kind", "id", "_id", F.explode(lacking("answer")).alias("key")).join(got.rest, "key")
+    more = wanted.groupBy(F.col("kind").alias("_k"), F.col("id").alias("_i"), F.col("_id").alias("_h")).agg(F.collect_list(F.struct("key", "a", "b")).alias("more"))
+    joined = base.join(more, F.expr("_id = _h and kind <=> _k and id <=> _i"), "left")
+    return joined.select("kind", "id", "question", "answer", defect_with("question", "answer", "more").alias("defect"))
