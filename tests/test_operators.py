@@ -1,9 +1,10 @@
 """Core operators on small inputs with results derived by hand, and invariants over whole tables."""
 
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
-from verbatlas.operators import captions, concepts, keywords, library, search, subtitles, tools, units
+from verbatlas.operators import captions, concepts, ideas, keywords, library, search, subtitles, tools, units
 from verbatlas.queries import QUERIES, SQL, timed_cues
 from verbatlas.session import cut
 
@@ -140,6 +141,18 @@ def test_concepts_of_few_units_shuffle_no_ngrams(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_ideas_stream_the_best_windows(spark, monkeypatch):
+    """Windows aren't handed to pandas by video, and a video whose first best say the same is asked for more."""
+    by_video = GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: by_video(self, f, schema) if f.__module__ != ideas.__name__ else pytest.fail("windows go to pandas"))
+    other = lambda w: f"El {w} guarda {w}res nuevos y {w}ción antigua sobre cada {w}do grande de {w}mente lenta."
+    said = [(v, k, 0, k * 20, "La bomba dos mueve toda el agua limpia del jardín hacia el tanque alto de la casa vieja." if k < 9 else other("abcdefghijklmn"[k - 9] * 4)) for v, n in (("a", 14), ("b", 11)) for k in range(n)]
+    df = spark.createDataFrame(said, "video_id string, position bigint, part int, second bigint, text string")
+    df = df.withColumn("fragments", F.expr("array(struct(position as cue_index, second, 0 as start, length(text) as end, text))"))
+    got = [sorted(map(str, ideas.ideas(df, limit=4, first=first).collect())) for first in (1, 3, 128)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 4 + 3
+
+
 def test_library(spark):
     entry = "id string, title string, channel string, duration double, url string, path string, tools array<string>, created_at string, updated_at string"
     old = spark.createDataFrame([("a", "A", None, 1.0, None, "p", ["x"], "c1", "u1"), ("b", "B", None, None, None, "p", [], None, None)], entry)

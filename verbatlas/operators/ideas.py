@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.plain import NEAR, profile, shared
 from ..functions.plain import distinct as distinct_texts
 from ..session import cut
 from .captions import chunks
@@ -32,22 +36,34 @@ def ideas(units: DataFrame, limit: int = 12, first: int = 128) -> DataFrame:
 
     best = W.partitionBy("video_id").orderBy(F.desc("score"), "position", "part")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("r")
-        kept = distinct_texts(f["text"].tolist(), most=limit)
-        short = len(kept) < limit and len(f) == f["upto"].iloc[0]
-        return f.iloc[kept].drop(columns=["r", "upto"]).assign(short=short)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, []
+        for batch in batches:
+            kept = []
+            for video, text in zip(batch.column("video_id").to_pylist(), batch.column("text").to_pylist()):
+                if video != now:
+                    now, seen = video, []
+                own = len(seen) < limit and profile(text)
+                kept.append(bool(own) and all(shared(own, p) < NEAR for p in seen))
+                if kept[-1]:
+                    seen.append(own)
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     # The best windows of a video are enough, unless many of them say the same: such a video asks for more.
     chosen, upto = None, first
     while True:
-        few = packed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= upto).drop("score").withColumn("upto", F.lit(upto))
-        got = cut(few.groupBy("video_id").applyInPandas(run, f"video_id string, {UNIT}, short boolean"))
-        done = got.where("not short").drop("short")
-        chosen = done if chosen is None else chosen.unionByName(done)
-        asking = got.where("short").select("video_id").distinct()
+        few = cut(packed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= upto))
+        placed = few.select("video_id", "r", "position", "part", "second", "text", "fragments").repartition("video_id").sortWithinPartitions("video_id", "r")
+        got = cut(placed.mapInArrow(run, f"video_id string, r int, {UNIT}"))
+        enough = got.groupBy("video_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("video_id")
+        more = few.where(F.col("r") == upto).select("video_id")
+        asking = cut(more.join(enough, "video_id", "left_anti"))
+        done = got.drop("r")
         if asking.isEmpty():
+            chosen = done if chosen is None else chosen.unionByName(done)
             break
+        done = done.join(asking, "video_id", "left_anti")
+        chosen = done if chosen is None else chosen.unionByName(done)
         packed, upto = packed.join(asking, "video_id", "left_semi"), upto * 16
     return chosen.withColumn("rank", F.row_number().over(W.partitionBy("video_id").orderBy("position", "part")))
 
