@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
-from verbatlas.operators import captions, concepts, ideas, keywords, library, search, subtitles, tools, units
+from verbatlas.operators import captions, concepts, ideas, keywords, library, questions, search, subtitles, tools, units
 from verbatlas.queries import QUERIES, SQL, timed_cues
 from verbatlas.session import cut
 
@@ -153,6 +153,20 @@ def test_ideas_stream_the_best_windows(spark, monkeypatch):
     assert got[0] == got[1] == got[2] and len(got[0]) == 4 + 3
 
 
+def test_basic_questions_stream(spark):
+    """Questions are chosen row by row, a video after the other, without a frame for each video."""
+    rows = [(v, k, 0, k, f"La base de datos sirve para guardar pedidos {k}.") for v in ("a", "b") for k in range(3)] + [("b", 9, 0, 9, "El riego profundo ayuda y permite raíces.")]
+    df = spark.createDataFrame(rows, "video_id string, position bigint, part int, second bigint, text string")
+    df = df.withColumn("fragments", F.expr("array(struct(position as cue_index, second, 0 as start, length(text) as end, text))"))
+    named = spark.createDataFrame([("a", "base de datos", 1), ("c", "x", 1)], "video_id string, name string, rank int")
+    found = spark.createDataFrame([(v, n, k) for v in ("a", "b") for k, n in enumerate(("base de datos", "riego profundo"), 1)], "video_id string, name string, rank int")
+    asked = questions.basic_questions(df, named, found)
+    assert sorted((r.video_id, r["rank"], r.question, r.second) for r in asked.collect()) == [
+        ("a", 1, "¿Qué se explica sobre base de datos?", 0), ("b", 1, "¿Qué se explica sobre base de datos?", 0), ("b", 2, "¿Qué se explica sobre riego profundo?", 9),
+    ]
+    assert "InPandas" not in asked._jdf.queryExecution().toString()
+
+
 def test_library(spark):
     entry = "id string, title string, channel string, duration double, url string, path string, tools array<string>, created_at string, updated_at string"
     old = spark.createDataFrame([("a", "A", None, 1.0, None, "p", ["x"], "c1", "u1"), ("b", "B", None, None, None, "p", [], None, None)], entry)

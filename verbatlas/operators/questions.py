@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..plans.barrier import where_computed
+from .concepts import by_rows
 from .units import FRAGMENT
 
 QUESTION = f"video_id string, category string, rank int, question string, second bigint, answer string, fragments array<{FRAGMENT}>"
@@ -84,22 +86,36 @@ def basic_questions(units: DataFrame, tools: DataFrame, concepts: DataFrame, lim
     told = explained_topics(units, concepts).select("video_id", F.lit(1).alias("stage"), F.struct(F.col("position").alias("a"), F.col("part").alias("b")).alias("o"), "topic", "position", "part", "second", "text", "fragments")
     rows = shown.unionByName(told).withColumn("oa", F.col("o.a")).withColumn("ob", F.col("o.b")).drop("o")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["stage", "oa", "ob"])
+    def chosen(held: list[tuple]) -> list[tuple]:
         asked, topics, sources, out = set(), set(), set(), []
-        for r in f.to_dict("records"):
-            source = r["position"], r["part"]
-            if source in sources or (r["stage"] and (len(out) >= wanted or r["topic"] in topics)):
+        for video, stage, topic, position, part, second, text, fragments in held:
+            source = position, part
+            if source in sources or (stage and (len(out) >= wanted or topic in topics)):
                 continue
-            question = f"¿Qué se explica sobre {r['topic']}?"
+            question = f"¿Qué se explica sobre {topic}?"
             if question.lower() not in asked and len(out) < limit:
                 asked.add(question.lower())
-                out.append((r["video_id"], "basicas", len(out) + 1, question, r["second"], r["text"], r["fragments"]))
-            topics.add(r["topic"].lower() if not r["stage"] else r["topic"])
+                out.append((video, "basicas", len(out) + 1, question, second, text, fragments))
+            topics.add(topic if stage else topic.lower())
             sources.add(source)
-        return pd.DataFrame(out, columns=["video_id", "category", "rank", "question", "second", "answer", "fragments"])
+        return out
+
+    def make() -> Callable[[tuple | None], list[tuple]]:
+        held: list[tuple] = []
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal held
+            out: list[tuple] = []
+            if held and (row is None or row[0] != held[0][0]):
+                out, held = chosen(held), []
+            if row is not None:
+                held.append(row)
+            return out
+
+        return step
 
-    return rows.groupBy("video_id").applyInPandas(run, QUESTION)
+    placed = rows.repartition("video_id").sortWithinPartitions("video_id", "stage", "oa", "ob")
+    return by_rows(placed.select("video_id", "stage", "topic", "position", "part", "second", "text", "fragments"), make, QUESTION)
 
 
 def _numbered(rows: DataFrame, category: str, limit: int) -> DataFrame:
